@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import chat, decontam, media, simhash, urlfilter, warc
+from seqspark.llm import chat, decontam, linededup, media, sharding, simhash, urlfilter, warc
 from seqspark.llm.common import stored
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -35,6 +35,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sharding.byte_size().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    k1, _ = sharding.sort_key()
+    rows = docs.select("doc_id", "size", "text_crc32", k1.alias("text_hash"))
+    placed = sharding.shard_by_bytes(rows, 8, F.col("size"), key=(F.col("text_hash"), F.xxhash64("doc_id")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,13 +58,20 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, F.col("host").startswith("spam"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_urls": op9_urls,
+    "op10_lines": op10_lines,
 }
 
 OP4_SQL = r"""
@@ -127,4 +143,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op9_urls": OP9_SQL}
+OP10_SQL = """
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+heavy AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, k, line, top IS NOT NULL AND doc_id < top AS gone FROM keyed LEFT JOIN heavy USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op9_urls": OP9_SQL, "op10_lines": OP10_SQL}
