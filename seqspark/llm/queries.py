@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import chat, decontam, linededup, media, sharding, simhash, urlfilter, warc
+from seqspark.llm import chat, decontam, linededup, media, mixing, sharding, simhash, urlfilter, warc
 from seqspark.llm.common import stored
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -21,6 +21,12 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(stored(media.store_audio(table(spark, sf_dir, "documents")), "audio", "zstd"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", mixing.word_count().alias("size"), F.col("doc_id").alias("row"))
+    mixed = mixing.copies(rows)
+    return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -65,6 +71,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
+    "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
