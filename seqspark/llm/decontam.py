@@ -275,3 +275,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, per: in
         marks = index.select("segment", "doc_ids", "n_words").join(lists, "segment").drop("segment")
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return counted(marks).withColumn("contaminated", (n_hit > 0) & (per * n_hit >= n_words))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated. Verdicts go by a hash of doc_id and text."""
+    own = F.xxhash64("doc_id", "text")
+    found = contamination(docs.select(own.alias("doc_id"), "text"), benchmark, **how)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("own")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
+    return rows.join(bad, "own", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import chat, decontam, linededup, media, mixing, sharding, simhash, urlfilter, warc
+from seqspark.llm import chat, decontam, linededup, media, mixing, sharding, simhash, toxicity, urlfilter, warc
 from seqspark.llm.common import stored
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -21,6 +21,12 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(stored(media.store_audio(table(spark, sf_dir, "documents")), "audio", "zstd"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", mixing.word_count().alias("size"), F.col("doc_id").alias("row"))
     mixed = mixing.copies(rows)
@@ -71,6 +77,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,

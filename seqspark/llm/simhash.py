@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import stored, utf8, word_chunks
@@ -48,14 +48,19 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, a row for each row of docs."""
+    """doc_id, row (a hash of doc_id and text) and fp, the fingerprint as a signed long, for each row of docs."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(d, shingle) for d in batch.column("data").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps)], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("data")).mapInArrow(hash_all, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), utf8().alias("data"))
+    return rows.mapInArrow(hash_all, "doc_id long, row long, fp long")
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 @dataclass(frozen=True)
@@ -203,6 +208,15 @@ def links(prints: DataFrame, covering: Covering) -> DataFrame:
     return homes.join(visits, "anchor").where(near).select("a", "b")
 
 
+def _grouped(docs: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and fp, label, first_id: each fingerprint's component and its smallest doc_id."""
+    own = stored(fingerprints(docs, shingle), "fingerprints")
+    prints = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
+    covering = Covering(COARSE if prints.count() < 1 << 28 else FINE, threshold)
+    labels = connected_components(links(prints, covering)).withColumnRenamed("node", "fp")
+    return own, prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id, a row for each row of docs.
 
@@ -210,11 +224,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Da
     words (null, empty) have fingerprint zero and are linked like others. Rows with a null doc_id take part, but give
     no id; a component without ids has a null one. Equal fingerprints are made one first, so that copies cost nothing.
     """
-    own = stored(fingerprints(docs, shingle), "fingerprints")
-    prints = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    covering = Covering(COARSE if prints.count() < 1 << 28 else FINE, threshold)
-    labels = connected_components(links(prints, covering)).withColumnRenamed("node", "fp")
-    known = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    own, known = _grouped(docs, shingle, threshold)
     ids = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_print = stored(known.select("fp", "label").join(ids, "label").select("fp", "component_id"), "components")
     return own.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The rows of docs, with all columns, that stand for their components: the smallest doc_id, null last, and one of
+    the rows that share it."""
+    own, known = _grouped(docs, shingle, threshold)
+    labelled = own.join(known.select("fp", "label"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = labelled.groupBy("label").agg(first).select(F.col("first.row").alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), row_hash().alias("row"))
+    one = rows.join(kept, "row", "left_semi").withColumn("nth", F.expr("row_number() OVER (PARTITION BY row ORDER BY row)")).where("nth = 1")
+    return one.select(*[F.col(f"held.`{c}`") for c in docs.columns])
