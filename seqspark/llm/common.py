@@ -1,14 +1,16 @@
-"""What several operators of this subpackage need: shared tables and word splitting."""
+"""What several operators of this subpackage need."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqspark.sources.shared import discard, stored
+
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "WORD_BYTES", "ascii_lower", "discard", "stored", "utf8", "word_chunks"]
+
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,34 +21,6 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 
-_local_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return base
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="seqspark-"))
-    return f"file://{_local_dir[0]}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage is cut and executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/seqspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def utf8(text: str = "text") -> Column:
     """The text's UTF-8 bytes, empty for null."""
