@@ -57,7 +57,7 @@ def _one_more(rows: str) -> str:
                 SELECT sequence_key, rn, us, tie, w, CASE WHEN gone THEN 0 ELSE st END AS st, CASE WHEN gone THEN 0 ELSE en END AS en, CASE WHEN gone THEN 0 ELSE cur END AS cur,
                   CASE WHEN gone THEN 0 ELSE step END AS step, act, CASE WHEN gone THEN 0 ELSE stby END AS stby, ev + CAST(gone AS BIGINT) AS ev,
                   lost + CASE WHEN gone THEN en - cur + CASE WHEN stby > 0 THEN w - stby + 1 ELSE 0 END ELSE 0 END AS lost
-                FROM ({rows})))))))))"""
+                FROM ({rows}))))))))"""
 
 
 _FIRST = "SELECT sequence_key, rn, us, tie, 0::BIGINT AS w, 0::BIGINT AS st, 0::BIGINT AS en, 0::BIGINT AS cur, 0::BIGINT AS step, 0::BIGINT AS act, 0::BIGINT AS stby, 0::BIGINT AS ev, 0::BIGINT AS lost, false AS gone FROM ordered WHERE rn = 1"
@@ -169,7 +169,7 @@ n AS (SELECT value, CAST(nullif(d, '') AS HUGEINT) * CASE u WHEN 'TiB' THEN 1099
 k AS (SELECT value, CASE WHEN b <= 18446744073709551615::HUGEINT THEN b END AS b FROM n)
 SELECT value, CAST(b AS VARCHAR) AS bytes, CASE WHEN b IS NULL THEN 'invalid' WHEN b < 67108864 THEN 'too_small' WHEN b >= 9223372036854775807 THEN 'unlimited' END AS problem FROM k""",
     "memory_limit_source": """WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n FROM part),
-d AS (SELECT *, CASE WHEN n % 3 <> 0 AND n > 0 THEN n * 1073741824 END AS cg, CASE WHEN n % 5 <> 0 THEN 25 * 1073741824 END AS sy FROM p),
+d AS (SELECT *, CASE WHEN n % 3 <> 0 AND n > 0 THEN n * 1073741824 END AS cg, CASE WHEN n % 5 <> 0 THEN 26843545600 END AS sy FROM p),
 a AS (SELECT *, CAST(floor(least(cg, sy) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS auto, CASE WHEN cg IS NOT NULL AND (sy IS NULL OR cg <= sy) THEN 'cgroup' WHEN sy IS NOT NULL THEN 'system' END AS found FROM d)
 SELECT p_partkey, CASE WHEN n % 7 = 0 THEN 536870912 WHEN n % 4 = 0 AND n % 8 <> 0 THEN 1073741824 ELSE auto END AS limit_bytes,
   CASE WHEN n % 7 = 0 THEN 'configuration' WHEN n % 4 = 0 AND n % 8 <> 0 THEN 'environment' ELSE found END AS source FROM a""",

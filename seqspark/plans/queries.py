@@ -263,9 +263,9 @@ def parse_memory_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_limit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part sizes stand for machines with and without limits."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
-    gib = F.lit(1 << 30)
+    gib = F.lit(1 << 30).cast("long")
     cgroup = F.when(F.col("n") % 3 != 0, F.col("n") * gib)
-    system = F.when(F.col("n") % 5 != 0, F.lit(25) * gib)
+    system = F.when(F.col("n") % 5 != 0, F.lit(25 << 30))
     config = F.when(F.col("n") % 7 == 0, "512MiB")
     env = F.when(F.col("n") % 4 == 0, F.when(F.col("n") % 8 == 0, "auto").otherwise("1GiB"))
     limit, source = sizes.configured_limit(config, env, cgroup, system, F.lit(0.8))
