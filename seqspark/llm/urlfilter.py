@@ -41,11 +41,18 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every bit of x changes about half of the result's."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 def _probes(h1: np.ndarray, h2: np.ndarray, level: int, n_hashes: int, n_bits: int) -> np.ndarray:
     """Bit positions of each key, (n_hashes, n); each level has its own."""
     with np.errstate(over="ignore"):
-        step = h2 * np.uint64(2 * level + 1) | np.uint64(1)
-        start = h1 ^ (h1 >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
+        start = _mixed(h1 ^ _mixed(h2 + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+        step = _mixed(start) | np.uint64(1)
         return np.stack([(start + np.uint64(k) * step >> np.uint64(11)) % np.uint64(n_bits) for k in range(n_hashes)])
 
 
