@@ -22,10 +22,13 @@ from seqspark.llm.common import WORD_BYTES, utf8, word_chunks
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled texts of each class that the network learns from, at most; sample_bytes: and of each text's length."""
+    """sample: labelled texts of each class that the network learns from, at most; sample_bytes: and of each text's length.
 
-    window: int = 32
-    stride: int = 16
+    A sample of few texts is gone through more often than epochs, for least_steps steps at least.
+    """
+
+    window: int = 128
+    stride: int = 64
     hidden: int = 8
     embedding: int = 8
     word_bits: int = 14
@@ -33,7 +36,9 @@ class Settings:
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
-    word_dropout: float = 0.5
+    word_dropout: float = 0.9
+    decay: float = 0.1
+    least_steps: int = 400
     sample: int = 2000
     sample_bytes: int = 1 << 16
     seed: int = 7
@@ -203,12 +208,12 @@ class Network:
         return np.concatenate(parts) if parts else np.zeros(0, np.float32), ids, text
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The score of each text: the highest of its windows'."""
+        """The score of each text: the highest of its windows', to six digits, as what is computed together varies in the last."""
         if not texts:
             return np.zeros(0)
         logit, _, text = self.text_logits(Words.of(texts, self.settings))
         first = np.flatnonzero(np.diff(text, prepend=-1))
-        return _sigmoid(np.maximum.reduceat(logit.astype(np.float64), first))
+        return np.round(_sigmoid(np.maximum.reduceat(logit.astype(np.float64), first)), 6)
 
 
 def _few(words: Words, ids: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -234,14 +239,16 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Ne
     label = np.append(label, 0)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     ids, text = words.windows(s)
-    step = 0
-    for epoch in range(s.epochs):
+    step, epoch, epochs = 0, 0, s.epochs
+    while epoch < epochs:
         logit = net.text_logits(words)[0] if epoch else rng.normal(size=len(ids))
         order = np.lexsort((-logit, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        chosen = np.concatenate([order[(rank == 0) | (rank == 1) & (label[text[order]] == 0)], order[(rank > 1) & (label[text[order]] == 0)][:: s.stride]])
+        chosen = np.concatenate([order[(rank == 0) | (rank == 1) & (label[text[order]] == 0)], order[(rank > 1) & (label[text[order]] == 0)][::16]])
+        epochs = max(epochs, -(-s.least_steps // -(-len(chosen) // s.batch)))
         rng.shuffle(chosen)
-        rate = s.rate * (1 - epoch / s.epochs) ** 0.5
+        rate = s.rate * (1 - epoch / epochs) ** 0.5
+        epoch += 1
         for lo in range(0, len(chosen), s.batch):
             some = chosen[lo : lo + s.batch]
             own, renamed = _few(words, ids[some])
@@ -252,7 +259,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Ne
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                net.p[k] -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + s.decay * net.p[k])
     return net
 
 
@@ -279,7 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network
         net = train([r[1] for r in rows], [int(r[2]) for r in rows], s)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["network"])
 
-    return Network(s, pickle.loads(bytes(sample.coalesce(1).mapInArrow(learn, "network binary").first()["network"])))
+    learned = sample.coalesce(1).mapInArrow(learn, "network binary").collect()
+    return Network(s, pickle.loads(bytes(learned[0]["network"]))) if learned else train([], [], s)
 
 
 def _in_blocks(net: Network, texts: list[bytes], block_bytes: int = 1 << 20) -> np.ndarray:
