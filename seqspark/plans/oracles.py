@@ -98,7 +98,7 @@ FROM (SELECT CAST(o_custkey AS VARCHAR) AS k, count(*) AS n FROM orders GROUP BY
 FROM (SELECT 'documents' AS kind, doc_id AS row_id, text AS k FROM documents UNION ALL SELECT 'pages', page_id, url FROM pages)""",
     "allocate_ordered": "SELECT event_type AS sequence_key, event_id AS tie, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS id FROM events",
     "reserve_ranges": """SELECT CAST(l_suppkey AS VARCHAR) AS sequence_key, l_orderkey AS seq, CAST(m - s + 1 AS BIGINT) AS first_id, CAST(m AS BIGINT) AS last_id
-FROM (SELECT *, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey * 1000 ELSE 0 END + sum(s) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey ROWS UNBOUNDED PRECEDING) AS m
+FROM (SELECT *, coalesce((SELECT max(s_suppkey * 1000) FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0), 0) + sum(s) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey ROWS UNBOUNDED PRECEDING) AS m
   FROM (SELECT l_suppkey, l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS s FROM lineitem GROUP BY 1, 2))""",
     "watermark_after_prefetch": """SELECT sequence_key, n, CAST((r + CASE WHEN (n - (r - 1) * 10) / 10 >= 0.5 THEN 1 ELSE 0 END) * 10 AS BIGINT) AS max_id
 FROM (SELECT CAST(user_id AS VARCHAR) AS sequence_key, count(*) AS n, CAST(ceil(count(*) / 10) AS BIGINT) AS r FROM events GROUP BY 1)""",
@@ -192,7 +192,7 @@ told AS (
   UNION SELECT old.service, old.version, 'changed_contract', old.contract FROM old JOIN r USING (service, version) WHERE old.contract <> r.contract
   UNION SELECT old.service, old.version, 'removed_client', x FROM (SELECT *, unnest(clients) AS x FROM old) AS old JOIN r USING (service, version) WHERE NOT list_contains(r.clients, x))
 SELECT service, version, problem, subject FROM told""",
-    "tree_drift": """WITH n AS (SELECT 'p' || page_id || '.html' AS path, CASE WHEN page_id % 7 = 0 THEN html || '!' ELSE html END AS text FROM pages WHERE page_id % 10 <> 0),
-t AS (SELECT 'p' || page_id || '.html' AS path, html AS text FROM pages WHERE page_id % 9 <> 0)
+    "tree_drift": """WITH n AS (SELECT 'p' || page_id || CASE WHEN contains(url, '#') THEN '.htm' ELSE '.html' END AS path, CASE WHEN contains(url, '?') THEN html || '!' ELSE html END AS text FROM pages),
+t AS (SELECT 'p' || page_id || '.html' AS path, html AS text FROM pages)
 SELECT path, CASE WHEN t.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM n FULL JOIN t USING (path) WHERE n.text IS DISTINCT FROM t.text""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqspark.config import AllocatorConfig
 from seqspark.functions import keys, sizes
 from seqspark.operators import allocate, audit, nodes, ranges, releases, replay, routes
-from seqspark.sources.shared import shared_dir
+from seqspark.sources.shared import own_path
 
 FIXED = AllocatorConfig(default_step=10, max_step=10)
 ADAPTIVE = AllocatorConfig(
@@ -83,7 +83,7 @@ def _reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     by_order = lines.groupBy(F.col("l_suppkey").cast("string").alias("sequence_key"), F.col("l_orderkey").alias("seq"))
     demands = by_order.agg(F.sum(F.col("l_quantity").cast("long")).alias("step"))
-    marks = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("string").alias("sequence_key"), (F.col("s_suppkey") * 1000).alias("max_id"))
+    marks = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("sequence_key"), (F.col("s_suppkey") * 1000).alias("max_id"))
     return ranges.reserve(demands, marks)
 
 
@@ -292,10 +292,10 @@ def release_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files: a tree without every tenth, with every seventh changed, against all but every ninth."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
-    changed = F.when(F.col("page_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return releases.tree_drift(pages.where("page_id % 10 <> 0").withColumn("text", changed), pages.where("page_id % 9 <> 0"))
+    """Pages as files: since the tag, those with a fragment in their URL were renamed, those with a query changed."""
+    pages, stem = table(spark, sf_dir, "pages"), F.concat(F.lit("p"), F.col("page_id"))
+    now = pages.select(F.concat(stem, F.when(F.col("url").contains("#"), ".htm").otherwise(".html")).alias("path"), F.when(F.col("url").contains("?"), F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
+    return releases.tree_drift(now, pages.select(F.concat(stem, F.lit(".html")).alias("path"), F.col("html").alias("text")))
 
 
 def node_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,14 +313,12 @@ def node_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adaptive replay as a stream over the events, read to its end; the same ids as adaptive_replay."""
-    import uuid
-
     from seqspark.streaming.allocator import allocate_stream
 
     events = table(spark, sf_dir, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     log = source.select(F.col("user_id").cast("string").alias("sequence_key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"))
-    base = f"{shared_dir(spark)}/seqspark/stream-{uuid.uuid4().hex}"
+    base = own_path(spark, "stream")
     run = allocate_stream(log, ADAPTIVE).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     return spark.read.schema("sequence_key string, tie bigint, id bigint, watermark bigint").parquet(f"{base}/out")

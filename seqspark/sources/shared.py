@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: list[str] = []
+#: The tables of this process are below a folder of their own.
+_OWN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,9 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/seqspark-{_OWN}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut and executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/seqspark/{name}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -37,3 +44,8 @@ def delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by stored() that nothing reads any more."""
     delete(df.sparkSession, df._stored_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this process. Results that were not written elsewhere can't be read any more."""
+    delete(spark, f"{shared_dir(spark)}/seqspark-{_OWN}")
