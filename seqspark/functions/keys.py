@@ -28,6 +28,11 @@ def key_problem(key: Column) -> Column:
     )
 
 
+def or_default(value: Column, default: str) -> Column:
+    """The value without white space around it; the default if nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(value, "(?U)^\\s+|\\s+\\z", ""), F.lit("")), F.lit(default))
+
+
 def parse_int64(text: Column) -> Column:
     """A base-10 integer with an optional sign and nothing around it; null for anything else and beyond 64 bits."""
     return F.when(text.rlike("^[+-]?[0-9]+\\z"), text).try_cast("bigint")

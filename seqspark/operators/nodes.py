@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_LOG = "node_id string, tick bigint, paused boolean, version bigint, slots array<int>, elapsed bigint"
@@ -27,7 +27,6 @@ class Node:
 
     def base_tick(self) -> None:
         """Pause after too many ticks without a heartbeat, else count the tick and apply a route that is due."""
-        self.tick += 1
         if self.elapsed >= self.timeout:
             self.paused = True
             return
@@ -55,8 +54,8 @@ def node_log(ticks: DataFrame, heartbeat_timeout_ticks: int) -> DataFrame:
     """The state of each node after each tick.
 
     ticks has node_id, tick, heartbeat (whether one is due), failed (whether its query failed), and version and slots of
-    the newest route, with the node's own slots, or nulls. A tick runs the base tick first, then the heartbeat. Ticks of a
-    node are folded in order; a task holds one node's state at a time.
+    the newest route, with the node's own slots, or nulls. A tick runs the base tick first, then the heartbeat; tick 0 is the
+    start, which has a heartbeat alone. Ticks of a node are folded in order; a task holds one node's state at a time.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +67,9 @@ def node_log(ticks: DataFrame, heartbeat_timeout_ticks: int) -> DataFrame:
             for name, tick, heartbeat, failed, version, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != at:
                     at, node = name, Node(heartbeat_timeout_ticks)
-                node.base_tick()
+                node.tick = tick
+                if tick > 0:
+                    node.base_tick()
                 if heartbeat and not failed:
                     newer = (version, slots or []) if version is not None and version > (node.known or (0, []))[0] else None
                     node.heartbeat(newer)
@@ -80,6 +81,12 @@ def node_log(ticks: DataFrame, heartbeat_timeout_ticks: int) -> DataFrame:
     return rows.repartition("node_id").sortWithinPartitions("node_id", "tick").mapInArrow(fold, NODE_LOG)
 
 
+def schedule(spark: SparkSession, nodes: list[str], last_tick: int, heartbeat_ticks: int) -> DataFrame:
+    """node_id, tick, heartbeat: the ticks from the start on; one in heartbeat_ticks has a heartbeat, the start too."""
+    ticks = spark.range(last_tick + 1).withColumnRenamed("id", "tick")
+    return ticks.select(F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node_id"), "tick", (F.col("tick") % heartbeat_ticks == 0).alias("heartbeat"))
+
+
 def first_applied(log: DataFrame, waits: DataFrame) -> DataFrame:
     """waits (node_id, version, tick) with the first tick at which the node has that version or a later one."""
     reached = log.select("node_id", F.col("tick").alias("_tick"), F.col("version").alias("_version"))

@@ -65,6 +65,15 @@ def entry_violations(releases: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, told)
 
 
+def lookup_violations(manifests: DataFrame, service: str, version: str) -> DataFrame:
+    """What stands against releasing a version of a service: foreign_service for a manifest of another, no_release if no
+    manifest of the service has the version."""
+    rows = releases_of(manifests)
+    none = manifests.sparkSession.createDataFrame([(service, version)], "service string, version string").join(rows, ["service", "version"], "left_anti")
+    foreign = manifests.where(F.col("service") != service).select("service", F.lit(version).alias("version"))
+    return _told(foreign, "foreign_service", "service").unionByName(_told(none, "no_release", "version"))
+
+
 def missing_tags(releases: DataFrame, tags: DataFrame) -> DataFrame:
     """Contracts and clients that no tag (tag) stands for."""
     named = releases.select("service", "version", F.explode(F.concat(F.array("contract"), F.col("tested_clients"))).alias("tag")).where("tag <> ''")

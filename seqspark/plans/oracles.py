@@ -192,6 +192,22 @@ told AS (
   UNION SELECT old.service, old.version, 'changed_contract', old.contract FROM old JOIN r USING (service, version) WHERE old.contract <> r.contract
   UNION SELECT old.service, old.version, 'removed_client', x FROM (SELECT *, unnest(clients) AS x FROM old) AS old JOIN r USING (service, version) WHERE NOT list_contains(r.clients, x))
 SELECT service, version, problem, subject FROM told""",
+    "node_ticks": """WITH RECURSIVE t AS (
+  SELECT CAST(k AS BIGINT) AS tick, n AS node_id, k % 2 = 0 AND k NOT BETWEEN 40 AND 49 AS beat, CASE WHEN k >= 30 THEN 3 WHEN k >= 10 THEN 2 ELSE 1 END AS v,
+    CASE WHEN k >= 30 THEN CASE n WHEN 'node-a' THEN [3] ELSE [0, 1, 2] END WHEN k >= 10 THEN CASE n WHEN 'node-a' THEN [0, 2] ELSE [1, 3] END ELSE CASE n WHEN 'node-a' THEN [0, 1, 2, 3] ELSE [] END END AS own
+  FROM range(61) AS r(k), (VALUES ('node-a'), ('node-b')) AS x(n)),
+s AS (
+  SELECT node_id, tick, false AS paused, CAST(0 AS BIGINT) AS version, CAST([] AS INTEGER[]) AS slots, 0 AS elapsed, CAST(v AS BIGINT) AS pv, tick + 3 AS pt, CAST(own AS INTEGER[]) AS ps, CAST(v AS BIGINT) AS kv, CAST(own AS INTEGER[]) AS ks FROM t WHERE tick = 0
+  UNION ALL
+  SELECT node_id, tick, paused AND NOT taken, version, CASE WHEN taken THEN kept ELSE slots END,
+    CASE WHEN beat THEN 0 ELSE elapsed END, CASE WHEN taken AND rv > version THEN rv ELSE pv END, CASE WHEN taken AND rv > version THEN tick + 3 ELSE pt END,
+    CASE WHEN taken AND rv > version THEN list_filter(rs, lambda x: NOT list_contains(kept, x)) ELSE ps END, CASE WHEN taken THEN rv ELSE kv END, CASE WHEN taken THEN rs ELSE ks END
+  FROM (SELECT *, beat AND (v > kv OR paused) AS taken, CASE WHEN paused AND rv > version THEN CAST([] AS INTEGER[]) ELSE list_filter(slots, lambda x: list_contains(rs, x)) END AS kept
+    FROM (SELECT t.node_id, t.tick, t.beat, CAST(t.v AS BIGINT) AS v, b.kv, b.ks, CASE WHEN t.v > b.kv THEN CAST(t.v AS BIGINT) ELSE b.kv END AS rv, CASE WHEN t.v > b.kv THEN CAST(t.own AS INTEGER[]) ELSE b.ks END AS rs,
+        b.paused OR b.elapsed >= 3 AS paused, CASE WHEN due THEN b.pv ELSE b.version END AS version, CASE WHEN due THEN list_sort(list_distinct(b.slots || b.ps)) ELSE b.slots END AS slots,
+        CASE WHEN b.elapsed >= 3 THEN b.elapsed ELSE b.elapsed + 1 END AS elapsed, CASE WHEN due THEN NULL ELSE b.pv END AS pv, b.pt, b.ps
+      FROM (SELECT *, elapsed < 3 AND pv IS NOT NULL AND pt <= tick + 1 AS due FROM s) AS b JOIN t ON t.node_id = b.node_id AND t.tick = b.tick + 1)))
+SELECT node_id, tick, paused, version, array_to_string(list_sort(slots), ',') AS slots FROM s""",
     "tree_drift": """WITH n AS (SELECT 'p' || page_id || CASE WHEN contains(url, '#') THEN '.htm' ELSE '.html' END AS path, CASE WHEN contains(url, '?') THEN html || '!' ELSE html END AS text FROM pages),
 t AS (SELECT 'p' || page_id || '.html' AS path, html AS text FROM pages)
 SELECT path, CASE WHEN t.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM n FULL JOIN t USING (path) WHERE n.text IS DISTINCT FROM t.text""",

@@ -299,14 +299,14 @@ def tree_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two nodes over 60 ticks; route 2 is published at tick 10, route 3 at tick 30; queries fail from tick 40 to 49."""
-    ticks = spark.range(1, 61).select(F.col("id").alias("tick"), F.explode(F.array(F.lit("node-a"), F.lit("node-b"))).alias("node_id"))
+    """Two nodes over 60 ticks, a heartbeat in two; route 2 is published at tick 10, route 3 at tick 30; queries fail from tick 40 to 49."""
+    ticks = nodes.schedule(spark, ["node-a", "node-b"], 60, 2)
     version = F.when(F.col("tick") >= 30, 3).when(F.col("tick") >= 10, 2).otherwise(1)
     three = F.when(F.col("node_id") == "node-a", F.array(F.lit(3))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     two = F.when(F.col("node_id") == "node-a", F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(3)))
     one = F.when(F.col("node_id") == "node-a", F.array(*[F.lit(k) for k in range(4)])).otherwise(F.array().cast("array<int>"))
     slots = F.when(version == 3, three).when(version == 2, two).otherwise(one)
-    rows = ticks.select("node_id", "tick", F.lit(True).alias("heartbeat"), F.col("tick").between(40, 49).alias("failed"), version.alias("version"), slots.alias("slots"))
+    rows = ticks.select("node_id", "tick", "heartbeat", F.col("tick").between(40, 49).alias("failed"), version.alias("version"), slots.alias("slots"))
     log = nodes.node_log(rows, 3)
     return log.select("node_id", "tick", "paused", "version", F.array_join("slots", ",").alias("slots"))
 

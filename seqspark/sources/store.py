@@ -89,12 +89,29 @@ class FolderRoutes:
         self.tables.write(append_new(self.tables.read(ROUTES), stamped))
 
 
+#: How a database tells who it is.
+IDENTITY_SQL = {
+    "postgres": "SELECT current_database(), current_user",
+    "mysql": "SELECT DATABASE(), SUBSTRING_INDEX(CURRENT_USER(), '@', 1)",
+}
+
+
+def identity_problem(found: tuple[str, str], expected: tuple[str, str]) -> str | None:
+    return None if found == expected else f"the database is {'/'.join(found)}, not {'/'.join(expected)}"
+
+
 class JdbcTables:
     """Reads and appends through JDBC; the driver's jar is the user's."""
 
     def __init__(self, spark: SparkSession, url: str, properties: dict[str, str]) -> None:
         self.spark, self.url, self.properties = spark, url, properties
 
+    def check_identity(self, query: str, database: str, account: str) -> None:
+        """An error unless query, one row of database and account, gives these: a store that belongs to another."""
+        found = tuple(self.spark.read.jdbc(self.url, f"({query}) AS identity", properties=self.properties).first())
+        if problem := identity_problem(found, (database, account)):
+            raise ValueError(problem)
+
     def read(self, table: str, known: int | None = None) -> DataFrame:
         """A table; with known only the rows of newer versions, a filter that the database runs."""
         rows = self.spark.read.jdbc(self.url, table, properties=self.properties)

@@ -34,6 +34,11 @@ def test_key_problems(spark, key, problem):
     assert one(spark, key, keys.key_problem) == problem
 
 
+@pytest.mark.parametrize("value,want", [(None, "d"), ("", "d"), (" \t", "d"), (" a b ", "a b")])
+def test_defaults(spark, value, want):
+    assert one(spark, value, lambda c: keys.or_default(c, "d")) == want
+
+
 @pytest.mark.parametrize("text,value", [("7", 7), ("+4", 4), ("-3", -3), (" 7", None), ("7 ", None), ("7\n", None), ("", None), ("bad", None), ("1.0", None), ("9223372036854775807", 2**63 - 1), ("9223372036854775808", None), (None, None)])
 def test_integers(spark, text, value):
     assert one(spark, text, keys.parse_int64) == value

@@ -98,6 +98,26 @@ def test_node_life(spark):
     assert got == {2: 13, 3: 33, 9: None}
 
 
+def test_schedule_and_start(spark):
+    plan = nodes.schedule(spark, ["n"], 5, 2)
+    assert [r["tick"] for r in plan.where("heartbeat").orderBy("tick").collect()] == [0, 2, 4]
+    log = {r["tick"]: r for r in nodes.node_log(ticks(spark, [("n", t, t == 0, False, 1, [7]) for t in range(6)]), 3).collect()}
+    assert not log[0]["paused"] and log[2]["slots"] == [] and log[3]["slots"] == [7] and not log[3]["paused"] and log[4]["paused"]
+
+
+def test_lookups(spark):
+    kind = "service string, releases array<struct<version: string, contract: string, tested_clients: array<string>>>"
+    manifests = spark.createDataFrame([("s", [("v1.0.0", "", [])])], kind)
+    found = lambda *a: {r["problem"] for r in releases.lookup_violations(manifests, *a).collect()}
+    assert [found("s", "v1.0.0"), found("s", "v2.0.0"), found("t", "v1.0.0")] == [set(), {"no_release"}, {"foreign_service", "no_release"}]
+
+
+def test_identity():
+    from seqspark.sources.store import identity_problem
+
+    assert identity_problem(("a", "b"), ("a", "b")) is None and "a/c" in identity_problem(("a", "c"), ("a", "b"))
+
+
 def test_manifest_tags(spark):
     tags = ["gen/go/x/v1.2.3", "gen/go/v1.2.3", "gen/go/x/v1.2", "gen/go/x/y/v0.0.1", "pkg/x/v1.2.3", "gen/go/x/v1.2.3-rc1"]
     got = spark.createDataFrame([(t,) for t in tags], "t string").select(releases.valid_tag(F.col("t"), "gen/go/")).collect()
