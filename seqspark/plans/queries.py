@@ -165,11 +165,13 @@ def route_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_update_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = snapshots(spark)
-    held = stored.select(F.col("version").alias("held_version"), F.col("payload").alias("held")).union(spark.createDataFrame([(None, None)], "v long, p string"))
-    offers = stored.union(stored.where("version = 2").select(F.lit(3).cast("long"), "payload"))
-    numbered = offers.select(F.col("version"), "payload", F.md5("payload").alias("content"))
-    pairs = F.broadcast(held).join(numbered, F.lit(True))  # four rows by four
+    """Each held version, or none, is offered each version, and version 3 with the content of version 2."""
+    contents = snapshots(spark)
+    offers = [(held, version, content) for held in (1, 2, 3, None) for version, content in ((1, 1), (2, 2), (3, 3), (3, 2))]
+    asked = spark.createDataFrame(offers, "held_version long, version long, content long")
+    held = contents.select(F.col("version").alias("held_version"), F.col("payload").alias("held"))
+    offered = contents.select(F.col("version").alias("content"), "payload")
+    pairs = asked.join(held, "held_version", "left").join(offered, "content")
     verdict = routes.update_verdict(F.col("held_version"), F.col("held"), F.col("version"), F.col("payload"))
     return pairs.groupBy("held_version", "version", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
@@ -205,8 +207,7 @@ ENDPOINTS = [("e1", "node-a", "READY"), ("e2", "node-b", "READY"), ("e3", "node-
 
 def endpoint_ready_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     endpoints = spark.createDataFrame(ENDPOINTS, "name string, node_id string, state string")
-    state = routes.connectivity(endpoints).select(F.col("state").alias("overall"))
-    return routes.ready_owners(endpoints).join(F.broadcast(state), F.lit(True))
+    return routes.ready_owners(endpoints).withColumn("overall", F.lit(routes.connectivity(endpoints).first()["state"]))
 
 
 def endpoint_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
