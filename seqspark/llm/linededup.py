@@ -84,9 +84,9 @@ class LineRuns:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """doc_id, keys: for each document the keys whose lines it loses."""
+    """doc_id, own (a hash of the text), keys: for each row the keys whose lines it loses. docs has doc_id, own and text."""
     key = F.explode(F.array_distinct(F.transform(lines_of(), lambda x: key_hash(x, min_chars))))
-    pairs = stored(docs.select("doc_id", key.alias("key")).where("key IS NOT NULL"), "lines")
+    pairs = stored(docs.select("doc_id", "own", key.alias("key")).where("key IS NOT NULL"), "lines")
     at = [k / batches for k in range(batches - 1, 0, -1)]
     bounds = [None, *sorted({int(x) for x in docs.approxQuantile("doc_id", at, 0.01)}, reverse=True), None] if at else [None, None]
     runs = LineRuns(fanout)
@@ -95,7 +95,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
         runs.add(batch if least is None else batch.where(F.col("doc_id") >= least))
     heavy = runs.compact().where(F.col("n_docs") >= min_docs).select("key", "top_doc")
     lost = pairs.join(heavy, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("top_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return lost.groupBy("doc_id", "own").agg(F.collect_set("key").alias("keys"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -104,11 +104,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     Keys of at least min_chars code points that at least min_docs documents hold lose all their lines, except in the
     largest doc_id that holds the key, where all its lines stay. Rows of one doc_id are one document; rows with a null
     doc_id count as no document, and lose the lines that others keep. A null text is one empty line. Hot keys are made
-    one row per task before the shuffle, and Spark splits them among the tasks of the joins.
+    one row per task before the shuffle, and Spark splits them among the tasks of the joins. What a row loses is gathered
+    by doc_id and text, so that rows without an id are not gathered into one group.
     """
-    rows = docs.select("doc_id", "text")
-    lost = repeated_lines(rows, min_chars, min_docs, batches, fanout).withColumnRenamed("doc_id", "lost_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    lost = repeated_lines(rows, min_chars, min_docs, batches, fanout).withColumnsRenamed({"doc_id": "lost_id", "own": "lost_own"})
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("keys", key_hash(x, min_chars)), F.lit(False)))
-    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", lines_of().alias("lines"), "keys")
+    same = (F.col("own") == F.col("lost_own")) & F.col("doc_id").eqNullSafe(F.col("lost_id"))
+    joined = rows.join(lost, same, "left").select("doc_id", lines_of().alias("lines"), "keys")
     done = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("keys").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
     return done.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))

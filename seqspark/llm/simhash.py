@@ -236,7 +236,8 @@ def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFra
     own, known = _grouped(docs, shingle, threshold)
     labelled = own.join(known.select("fp", "label"), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = labelled.groupBy("label").agg(first).select(F.col("first.row").alias("row"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), row_hash().alias("row"))
-    one = rows.join(kept, "row", "left_semi").withColumn("nth", F.expr("row_number() OVER (PARTITION BY row ORDER BY row)")).where("nth = 1")
+    kept = labelled.groupBy("label").agg(first).select(F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").cast("long").alias("id"), row_hash().alias("row"))
+    chosen = rows.join(kept, (F.col("row") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    one = chosen.withColumn("nth", F.expr("row_number() OVER (PARTITION BY row, id ORDER BY row)")).where("nth = 1")
     return one.select(*[F.col(f"held.`{c}`") for c in docs.columns])
