@@ -211,4 +211,30 @@ SELECT node_id, tick, paused, version, array_to_string(list_sort(slots), ',') AS
     "tree_drift": """WITH n AS (SELECT 'p' || page_id || CASE WHEN contains(url, '#') THEN '.htm' ELSE '.html' END AS path, CASE WHEN contains(url, '?') THEN html || '!' ELSE html END AS text FROM pages),
 t AS (SELECT 'p' || page_id || '.html' AS path, html AS text FROM pages)
 SELECT path, CASE WHEN t.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM n FULL JOIN t USING (path) WHERE n.text IS DISTINCT FROM t.text""",
+    "watermark_advance": """WITH m AS (SELECT CAST(s_suppkey AS VARCHAR) AS sequence_key, s_suppkey * 10 AS max_id FROM supplier WHERE s_suppkey % 3 <> 0),
+d AS (SELECT CAST(s_suppkey AS VARCHAR) AS sequence_key, s_suppkey % 7 AS step FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 7 > 0)
+SELECT sequence_key, CAST(coalesce(max_id, 0) + coalesce(step, 0) AS BIGINT) AS max_id, CASE WHEN step IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS updated_on FROM m FULL JOIN d USING (sequence_key)""",
+    "metadata_integers": """SELECT event_id, CAST(CASE WHEN event_id % 7 IN (0, 1) THEN event_id WHEN event_id % 7 = 6 THEN -event_id END AS BIGINT) AS version FROM events""",
+    "names_or_default": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'sequence' ELSE c_name END AS name FROM customer",
+    "memory_utilization": """WITH m AS (SELECT p_partkey, CAST(greatest(p_size - p_partkey % 20, 0) AS BIGINT) AS managed FROM part)
+SELECT p_partkey, managed, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(managed AS DOUBLE) / 64 END AS utilization FROM m""",
+    "route_answer_problem": """SELECT event_id, CASE WHEN (event_id % 2 = 0) = (event_id % 5 > 1) THEN 'invalid' WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'unavailable' END AS problem FROM events""",
+    "route_reopen": f"""WITH {OWNERS} SELECT slot, CASE version WHEN 2 THEN 'dropped' ELSE 'added' END AS change, CAST(3 AS BIGINT) AS version
+FROM owners WHERE node_id = 'node-b' AND version > 1""",
+    "route_publication": f"""WITH {OWNERS}, n AS (SELECT version, node_id, '{{"node_id":"' || node_id || '","slots":[' || string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) || ']}}' AS entry FROM owners GROUP BY version, node_id)
+SELECT version, '{{"nodes":[' || string_agg(entry, ',' ORDER BY node_id) || ']}}' AS payload FROM n GROUP BY version""",
+    "client_retry": "SELECT event_id, event_id % 6 IN (2, 3) OR event_id % 4 = 0 AS again FROM events",
+    "ids_not_increasing": f"""WITH {LOG}, b AS (SELECT sequence_key, tie, tie % 100 AS id, lag(tie % 100) OVER (PARTITION BY sequence_key ORDER BY us, tie) AS before FROM log)
+SELECT * FROM b WHERE id <= before""",
+    "release_lookup": f"""WITH {RELEASES}, w(version) AS (VALUES ('v0.1.0'), ('v9.0.0'))
+SELECT DISTINCT service, w.version, 'foreign_service' AS problem, service AS subject FROM r, w WHERE service <> 'sequence'
+UNION ALL SELECT 'sequence', version, 'no_release', version FROM w WHERE version NOT IN (SELECT version FROM r WHERE service = 'sequence')""",
+    "selected_clients": rf"""WITH {RELEASES}, x AS (SELECT service, place, version, unnest(clients) AS client, generate_subscripts(clients, 1) AS k FROM r)
+SELECT service, CAST(place AS INTEGER) AS place, x.version, arg_min(client, k) AS client FROM x JOIN root ON client = root.module || '/' || root.version GROUP BY ALL""",
+    "tag_parts": """WITH k AS (SELECT p_partkey, p_partkey % 5 AS m, CAST(p_partkey AS VARCHAR) AS n FROM part)
+SELECT p_partkey, CASE m WHEN 0 THEN 'gen/go/p' || n WHEN 1 THEN 'gen/go/p/v2' WHEN 2 THEN 'pkg/p' || n WHEN 3 THEN 'gen/go/' ELSE '' END AS path,
+  CASE m WHEN 0 THEN 'v1.2.' || n WHEN 1 THEN 'v' || n WHEN 2 THEN 'v0.0.1' WHEN 3 THEN 'v1.0.' || n ELSE '' END AS version, m = 0 AS valid FROM k""",
 }
+
+ORACLE_SQL["version_barrier"] = f"""WITH log AS ({ORACLE_SQL["node_ticks"]}), w AS (SELECT n AS node_id, CAST(v AS BIGINT) AS version, CAST(t AS BIGINT) AS tick FROM (VALUES ('node-a'), ('node-b')) AS a(n), range(1, 5) AS b(v), (VALUES (5), (35)) AS c(t))
+SELECT w.node_id, w.version, w.tick, (SELECT min(greatest(log.tick, w.tick)) FROM log WHERE log.node_id = w.node_id AND log.version >= w.version) AS ready_tick FROM w"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqspark.config import AllocatorConfig
 from seqspark.functions import keys, sizes
 from seqspark.operators import allocate, audit, nodes, ranges, releases, replay, routes
+from seqspark.sources.schemas import REASONS
 from seqspark.sources.shared import own_path
 
 FIXED = AllocatorConfig(default_step=10, max_step=10)
@@ -325,12 +326,108 @@ def stream_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("sequence_key string, tie bigint, id bigint, watermark bigint").parquet(f"{base}/out")
 
 
+def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks of two suppliers in three, moved on by the demands of one in two."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sequence_key"), F.col("s_suppkey").alias("n"))
+    marks = suppliers.where("n % 3 <> 0").select("sequence_key", (F.col("n") * 10).cast("long").alias("max_id"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+    demands = suppliers.where("n % 2 = 0").select("sequence_key", F.lit(1).alias("seq"), (F.col("n") % 7).cast("long").alias("step"))
+    moved = ranges.advance(marks, ranges.reserve(demands, marks), F.lit("2024-02-01").cast("timestamp"))
+    return moved.select("sequence_key", "max_id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
+
+
+def metadata_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client versions as sent: plain, signed, with blanks around, beyond 64 bits, hexadecimal or empty."""
+    n = F.col("event_id").cast("string")
+    sent = [n, F.concat(F.lit("+"), n), F.concat(F.lit(" "), n), F.concat(n, F.lit("99999999999999999999")), F.concat(F.lit("0x"), n), F.lit(""), F.concat(F.lit("-"), n)]
+    text = F.element_at(F.array(*sent), (F.col("event_id") % len(sent) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", keys.parse_int64(text).alias("version"))
+
+
+def names_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names with blanks around; some are blank alone, some missing."""
+    blank = F.lit(" \t\n\u00a0")
+    name = F.when(F.col("c_custkey") % 3 == 0, blank).when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.concat(blank, "c_name", blank))
+    return table(spark, sf_dir, "customer").select("c_custkey", keys.or_default(name, "sequence").alias("name"))
+
+
+def memory_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part as a node: its size as total memory, its key as released memory, with and without a limit."""
+    managed = sizes.managed_memory(F.col("p_size").cast("long"), (F.col("p_partkey") % 20).cast("long"))
+    limit = F.when(F.col("p_partkey") % 4 == 0, 0).when(F.col("p_partkey") % 7 == 0, F.lit((1 << 63) - 1)).otherwise(64).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", managed.alias("managed"), sizes.utilization(managed, limit).alias("utilization"))
+
+
+def route_answer_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's judgement of each answer to a refresh."""
+    known, same = F.col("event_id") % 3, F.col("event_id") % 2 == 0
+    version = F.when(F.col("event_id") % 5 > 1, F.col("event_id") % 5)
+    return table(spark, sf_dir, "events").select("event_id", routes.refresh_problem(known, same, version).alias("problem"))
+
+
+def route_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What node-b drops and adds as it opens again with route 3, having applied route 2, and with route 2 once more."""
+    own = route_log(spark).where("node_id = 'node-b'")
+    two, three = own.where("version = 2"), own.where("version = 3")
+    newer = routes.open_diff(two, three, 3, 2).withColumn("version", F.lit(3).cast("long"))
+    return newer.unionByName(routes.open_diff(two, two, 2, 2).withColumn("version", F.lit(2).cast("long")))
+
+
+def route_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored snapshots after version 3 was added to them and a publication of version 2 by others was left out."""
+    every = snapshots(spark)
+    held, again = every.where("version < 3"), every.where("version = 1").withColumn("version", F.lit(2).cast("long"))
+    return routes.append_new(routes.append_new(held, again), every.where("version = 3"))
+
+
+def client_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a client asks once more, by the reason or the code of a refusal."""
+    reasons = F.array(F.lit(None), *[F.lit(r) for r, _ in REASONS.values()])
+    reason = F.element_at(reasons, (F.col("event_id") % (len(REASONS) + 1) + 1).cast("int"))
+    code = F.when(F.col("event_id") % 4 == 0, "UNAVAILABLE").otherwise("INTERNAL")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(allocate.retryable(reason, code), F.lit(False)).alias("again"))
+
+
+def ids_not_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose id is not above that of their user's event before, by time."""
+    log = requests(spark, sf_dir).withColumn("id", F.col("tie") % 100)
+    return audit.not_increasing(log, ["ts", "tie"]).select("sequence_key", "tie", "id", "before")
+
+
+def release_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands against releasing v0.1.0 and v9.0.0 of sequence."""
+    manifests = spark.createDataFrame(MANIFESTS, MANIFEST_KIND)
+    return reduce(DataFrame.unionByName, [releases.lookup_violations(manifests, "sequence", v) for v in ("v0.1.0", "v9.0.0")])
+
+
+def selected_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tested client of each release that the root module requires."""
+    root = spark.createDataFrame([("gen/go/sequence", "v0.2.0"), ("pkg/sequence", "v0.2.0")], "module string, version string")
+    return releases.selected_clients(releases.releases_of(spark.createDataFrame(MANIFESTS, MANIFEST_KIND)), root)
+
+
+def tag_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of modules named after parts: path, version, and whether the tag is a contract's."""
+    n = F.col("p_partkey").cast("string")
+    tags = [F.concat(F.lit("gen/go/p"), n, F.lit("/v1.2."), n), F.concat(F.lit("gen/go/p/v2/v"), n), F.concat(F.lit("pkg/p"), n, F.lit("/v0.0.1")), F.concat(F.lit("gen/go//v1.0."), n), F.lit("v1.0.0")]
+    tag = F.element_at(F.array(*tags), (F.col("p_partkey") % len(tags) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", releases.tag_path(tag).alias("path"), releases.tag_version(tag).alias("version"), releases.valid_tag(tag, releases.CONTRACTS).alias("valid"))
+
+
+def version_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When requests that wait for versions 1 to 4 at tick 5 or 35 may go on, by the log of node_ticks."""
+    log = node_ticks(spark, sf_dir)
+    waits = spark.createDataFrame([(n, v, t) for n in ("node-a", "node-b") for v in (1, 2, 3, 4) for t in (5, 35)], "node_id string, version long, tick long")
+    return nodes.first_applied(log.select("node_id", "tick", "version"), waits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         first_ids, slot_for_key, slot_histogram, key_validity, allocate_ordered, reserve_ranges, watermark_after_prefetch, range_of_id, idle_gap_allocate,
         idle_discarded, step_decision, adaptive_replay, route_latest_newer, route_violations, route_diff, route_update_verdict, owner_lookup, owner_asof,
         fetch_verdict, endpoint_ready_owner, endpoint_round_robin, endpoint_reconcile, get_route, audit_ids, allocator_metrics, cleanup, parse_memory_limit,
-        memory_limit_source, release_violations, tree_drift, node_ticks, stream_allocate,
+        memory_limit_source, release_violations, tree_drift, node_ticks, stream_allocate, watermark_advance, metadata_integers, names_or_default,
+        memory_utilization, route_answer_problem, route_reopen, route_publication, client_retry, ids_not_increasing, release_lookup, selected_clients,
+        tag_parts, version_barrier,
     )
 }
