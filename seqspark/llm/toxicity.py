@@ -75,17 +75,24 @@ class Words:
         bucket = np.fromiter((zlib.crc32(w) >> 32 - s.word_bits for w in words), np.int32, len(words))
         return cls(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(lengths, np.int64), bucket, trigrams, starts, counts)
 
-    def windows(self, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of all windows, (n, window), -1 where a text has ended; and the text of each. A text without words has
-        one window of nothing."""
+    def places(self, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """Where each window starts in its text, and the text of each. A text without words has one window of nothing."""
         n = 1 + np.maximum(0, -(-(self.lengths - s.window) // s.stride))
         text = np.repeat(np.arange(len(n)), n)
-        first = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * s.stride
+        return (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * s.stride, text
+
+    def ids_of(self, first: np.ndarray, text: np.ndarray, s: Settings) -> np.ndarray:
+        """Word ids of these windows, (n, window), -1 where a text has ended."""
         at = first[:, None] + np.arange(s.window)
         inside = at < self.lengths[text][:, None]
         base = (np.cumsum(self.lengths) - self.lengths)[text][:, None]
         where = np.where(inside, base + at, 0)
-        return np.where(inside, self.ids[where] if len(self.ids) else 0, -1).astype(np.int32), text
+        return np.where(inside, self.ids[where] if len(self.ids) else 0, -1).astype(np.int32)
+
+    def windows(self, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of all windows, and the text of each."""
+        first, text = self.places(s)
+        return self.ids_of(first, text, s), text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -200,18 +207,18 @@ class Network:
             np.add.at(d_chars, words.trigrams, np.repeat(d_inputs[:, s.embedding :] / words.counts[:, None], words.counts, axis=0))
         return loss, d | {"words": d_words, "chars": d_chars}
 
-    def text_logits(self, words: Words, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of all windows, with the windows and their texts."""
-        ids, text = words.windows(self.settings)
+    def text_logits(self, words: Words, at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all windows, with their texts; at_once windows are read together, so that a long text stays within bounds."""
+        first, text = words.places(self.settings)
         inputs = self.inputs(words)
-        parts = [self.logits(ids[lo : lo + at_once], inputs) for lo in range(0, len(ids), at_once)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.float32), ids, text
+        parts = [self.logits(words.ids_of(first[lo : lo + at_once], text[lo : lo + at_once], self.settings), inputs) for lo in range(0, len(text), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32), text
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The score of each text: the highest of its windows', to six digits, as what is computed together varies in the last."""
         if not texts:
             return np.zeros(0)
-        logit, _, text = self.text_logits(Words.of(texts, self.settings))
+        logit, text = self.text_logits(Words.of(texts, self.settings))
         first = np.flatnonzero(np.diff(text, prepend=-1))
         return np.round(_sigmoid(np.maximum.reduceat(logit.astype(np.float64), first)), 6)
 
@@ -238,10 +245,10 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Ne
     words = Words.of([*texts, b""], s)
     label = np.append(label, 0)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    ids, text = words.windows(s)
+    first, text = words.places(s)
     step, epoch, epochs = 0, 0, s.epochs
     while epoch < epochs:
-        logit = net.text_logits(words)[0] if epoch else rng.normal(size=len(ids))
+        logit = net.text_logits(words)[0] if epoch else rng.normal(size=len(text))
         order = np.lexsort((-logit, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = np.concatenate([order[(rank == 0) | (rank == 1) & (label[text[order]] == 0)], order[(rank > 1) & (label[text[order]] == 0)][::16]])
@@ -251,7 +258,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Ne
         epoch += 1
         for lo in range(0, len(chosen), s.batch):
             some = chosen[lo : lo + s.batch]
-            own, renamed = _few(words, ids[some])
+            own, renamed = _few(words, words.ids_of(first[some], text[some], s))
             dropped = rng.random(len(own.counts)) < s.word_dropout
             _, d = net.gradients(renamed, own, dropped, label[text[some]])
             step += 1
@@ -309,8 +316,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _in_blocks(held.value, batch.column("data").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+            for lo in range(0, len(batch), 512):
+                rows = batch.slice(lo, 512)
+                scores = _in_blocks(held.value, rows.column("data").to_pylist())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), utf8().alias("data")).mapInArrow(score_all, "doc_id long, score double")
 
@@ -321,7 +330,9 @@ def keep_clean(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFra
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(_in_blocks(held.value, texts) < threshold))
+            for lo in range(0, len(batch), 512):
+                rows = batch.slice(lo, 512)
+                texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+                yield rows.filter(pa.array(_in_blocks(held.value, texts) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
