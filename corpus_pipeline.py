@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontam, mixing, sharding, simhash, toxicity
+from seqspark.llm import decontam, mixing, nearcopies, sharding, toxicity
 from seqspark.llm.common import stored
 
 
@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id; one, if rows share it."""
-    return simhash.keep_first(docs)
+    """Of each component of texts with a Jaccard similarity of 0.8 or more over shingles of five words the document with
+    the smallest doc_id; one, if rows share it."""
+    return nearcopies.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,7 +234,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFra
     """The rows of docs, with all columns, that stand for their components: the smallest doc_id, null last, and one of
     the rows that share it."""
     own, known = _grouped(docs, shingle, threshold)
-    labelled = own.join(known.select("fp", "label"), "fp")
+    return first_rows(docs, own.join(known.select("fp", "label"), "fp"))
+
+
+def first_rows(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The first row of docs for each label; labelled has doc_id, row and label for each row of docs."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     kept = labelled.groupBy("label").agg(first).select(F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").cast("long").alias("id"), row_hash().alias("row"))
