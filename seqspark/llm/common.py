@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqspark.sources.shared import discard, stored
+from seqspark.sources.shared import Bucketed, bucketed, discard, stored
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "WORD_BYTES", "ascii_lower", "discard", "stored", "utf8", "word_chunks"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "WORD_BYTES", "Bucketed", "ascii_lower", "bucketed", "discard", "stored", "utf8", "word_chunks"]
 
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"

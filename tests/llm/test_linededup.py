@@ -45,14 +45,30 @@ def test_matches_brute_force(spark, batches, fanout):
 
 
 def test_runs_are_levelled_sorted_and_compacted(spark):
-    runs = linededup.LineRuns(fanout=2)
+    runs = linededup.LineRuns(buckets=4, fanout=2)
     for batch in ([(9, b"a"), (9, b"b")], [(8, b"a"), (7, b"c")], [(6, b"c"), (6, b"a")], [(5, b"d")]):
         runs.add(spark.createDataFrame(batch, "doc_id long, key binary"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert {bytes(r["key"]): (r["n_docs"], r["top_doc"]) for r in runs.known().collect()} == {b"a": (3, 9), b"b": (1, 9), b"c": (2, 7), b"d": (1, 5)}
+    assert {bytes(r["key"]): (r["n_docs"], r["top_doc"]) for r in runs.all()[0].table().collect()} == {b"a": (3, 9), b"b": (1, 9), b"c": (2, 7), b"d": (1, 5)}
     runs.add(spark.createDataFrame([(4, b"a")], "doc_id long, key binary"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1] and runs.levels[0][0].first()["top_doc"] is None
-    assert runs.compact().where("n_docs = 4").count() == 1 and sum(map(len, runs.levels)) == 1
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and runs.levels[0][0].table().first()["top_doc"] is None
+    assert runs.compact().table().where("n_docs = 4").count() == 1 and sum(map(len, runs.levels)) == 1
+
+
+def test_runs_are_joined_without_an_exchange(spark):
+    runs = linededup.LineRuns(buckets=4)
+    for doc_id in (9, 8):
+        runs.add(spark.createDataFrame([(doc_id, b"a"), (doc_id, b"b")], "doc_id long, key binary"))
+    a, b = (run.table().hint("merge") for run in runs.all())
+    plan = a.join(b, "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_text_of_50000_lines(spark):
+    many = "\n".join(f"line number {k % 40_000} of the long text" if k % 2 else f"own {k}" for k in range(50_000))
+    docs = [(1, many), (2, many), (3, "line number 1 of the long text\nanother line of its own"), (4, many.upper())]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_dropped")
+    assert rows(got) == brute(docs)
 
 
 def test_edge_rows_and_empty_table(spark):
