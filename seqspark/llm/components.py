@@ -31,4 +31,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(labels)
         discard(known)
         labels = after
+    discard(both)
     return labels.select("node", "label")

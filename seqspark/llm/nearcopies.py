@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash candidates, each checked exactly.
-
-A set of shingles has 32 fingerprints, each of five minima. Two sets of similarity J share one with probability
-1 - (1 - J^5)^32, at J = 0.8 all but 3 in a million. Sets that share a fingerprint make a bucket. First a bucket's sets are
-compared with one of them, then all those that are not yet connected with each other, so that the components are those of
-all pairs in a bucket.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and min-hash candidates, each checked exactly.
+
+Sets of shingles whose SimHash fingerprints are linked by anchors (simhash.py) make a bucket. Two bits of 64 find sets that
+share almost all; at a similarity of 0.8 about ten bits differ, which no covering code reaches with a bounded number of
+visits. So a set also has 32 min-hash fingerprints, each of five minima: two sets of similarity J share one with probability
+1 - (1 - J^5)^32, at J = 0.8 all but 3 in a million, and sets that share one make a bucket as well. First a bucket's sets
+are compared with one of them, then all those that are not yet connected with each other, so that the components are those
+of all pairs in a bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import discard, stored, utf8, word_chunks
 from seqspark.llm.components import connected_components
-from seqspark.llm.simhash import SEED, first_rows, row_hash
+from seqspark.llm.simhash import SEED, first_rows, majority, ones_of, print_labels, row_hash
 
 #: Fingerprints of a set, and minima of a fingerprint.
 BANDS, MINIMA = 32, 5
@@ -58,7 +60,8 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), set (a hash of the set of shingles), n (its size) and keys, for each row."""
+    """doc_id, row (a hash of doc_id and text), set (a hash of the set of shingles), n (its size), fp (its SimHash) and
+    keys (its min-hash fingerprints), for each row."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +69,11 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 sets = [shingles(d.as_py(), shingle) for d in part.column("data")]
                 ids = _signed([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets])
-                columns = [part.column("doc_id"), part.column("row"), ids, pa.array(map(len, sets), pa.int64()), _lists([bands(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "keys"])
+                columns = [part.column("doc_id"), part.column("row"), ids, pa.array(map(len, sets), pa.int64()), _signed([majority(ones_of(s), len(s)) for s in sets]), _lists([bands(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), utf8().alias("data"))
-    return rows.mapInArrow(hash_all, "doc_id long, row long, set long, n long, keys array<long>")
+    return rows.mapInArrow(hash_all, "doc_id long, row long, set long, n long, fp long, keys array<long>")
 
 
 def near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
@@ -96,10 +99,12 @@ def near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, simil
 def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """set, label: the component of each set that is near another one."""
     over, under = similarity
-    sets = stored(own.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
-    placed = sets.select("set", "n", F.explode("keys").alias("key"))
-    heads = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "set"), "set", "n")).alias("head")).where("size > 1")
-    placed = stored(placed.join(heads.select("key", F.col("head.set").alias("head"), F.col("head.n").alias("head_n")), "key"), "placed")
+    sets = own.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")], F.min("row").alias("row"))
+    sets = stored(sets.where("n > 0"), "sets")
+    linked = print_labels(sets.select("fp").distinct()).withColumnRenamed("label", "print")
+    buckets = sets.join(linked, "fp", "left").select("set", "n", F.explode(F.array_append("keys", F.xxhash64(F.lit("fp"), F.coalesce("print", "fp")))).alias("key"))
+    heads = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "set"), "set", "n")).alias("head")).where("size > 1")
+    placed = stored(buckets.join(heads.select("key", F.col("head.set").alias("head"), F.col("head.n").alias("head_n")), "key"), "placed")
 
     def alike(m: str, n: str):
         return under * F.least(m, n) >= over * F.greatest(m, n)
@@ -109,20 +114,30 @@ def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[
     links = near(asked, docs, sets, shingle, similarity)
     labels = stored(connected_components(links).select(F.col("node").alias("set"), "label"), "labels")
 
-    known = placed.select("key", "set", "n").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    open_ = stored(known.join(mixed, "key"), "open")
+    known = stored(placed.select("key", "set", "n").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "known")
+    discard(placed)
+    by_label = known.groupBy("key", "label").agg(F.count("*").alias("size"))
+    mixed = by_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = stored(known.join(mixed.select("key", F.col("most.label").alias("main")), "key"), "open")
+    discard(known)
     other = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "n", "label")])
-    rest = open_.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & alike("n", "other_n"))
-    rest = rest.select(F.col("set").alias("a"), F.col("other_set").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-    more = near(stored(rest, "rest"), docs, sets, shingle, similarity)
-    return connected_components(links.unionByName(more)).withColumnRenamed("node", "set")
+    # The bucket's largest component is only compared with the others, not with itself.
+    apart = (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("main")) | (F.col("set") < F.col("other_set")))
+    rest = open_.where("label <> main").join(other, "key").where(apart & alike("n", "other_n"))
+    rest = rest.select(F.least("set", "other_set").alias("a"), F.greatest("set", "other_set").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
+    rest = stored(rest, "rest")
+    discard(open_)
+    more = near(rest, docs, sets, shingle, similarity)
+    found = connected_components(links.unionByName(more)).withColumnRenamed("node", "set")
+    for table in (sets, asked, labels, links, rest, more):
+        discard(table)
+    return found
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of docs, with all columns, that stand for their components: the smallest doc_id, null last, and one of
-    the rows that share it. Texts are linked if the Jaccard similarity of their shingles is at least the fraction; those
-    without words are one component."""
+    the rows that share it. Texts are linked if the Jaccard similarity of their sets of shingles is at least the
+    fraction; those without words are one component."""
     own = stored(sets_of(docs, shingle), "own")
     labels = components(docs, own, shingle, similarity)
     labelled = own.select("doc_id", "row", "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -28,8 +28,7 @@ SEED = 42
 def fingerprint(data: bytes, shingle: int = 3) -> int:
     """The SimHash of the text's shingles of words, A-Z lower-cased: a bit is 1 if set in over half the hashes.
 
-    A text of fewer words has one shingle, of them all; one without words has fingerprint zero. Bits are counted as
-    bytes, eight to a 64-bit addition, over up to 255 hashes at a time.
+    A text of fewer words has one shingle, of them all; one without words has fingerprint zero.
     """
     ones, n, last = np.zeros(64, dtype=np.int64), 0, []
     digest = xxhash.xxh64_intdigest
@@ -38,12 +37,26 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
         hashes = [digest(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)), strict=False)]
         last = words[len(hashes) :]
         if hashes:
-            bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
-            sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
-            ones += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            ones += ones_of(np.array(hashes, dtype=np.uint64))
             n += len(hashes)
     if not n:
         return digest(b" ".join(last), SEED) if last else 0
+    return majority(ones, n)
+
+
+def ones_of(hashes: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set, the highest bit first. Bits are counted as bytes, eight to a
+    64-bit addition, over up to 255 hashes at a time."""
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), at_once):
+        bits = np.unpackbits(hashes[lo : lo + at_once].astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: the bits that over half of them set."""
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -140,7 +153,7 @@ def golay() -> Code:
 
 #: One bit that is its own codeword.
 FREE = Code((0,), 0)
-#: 2^28 anchors, and 2^38 for more fingerprints than that.
+#: 2^28 anchors, and 2^38.
 COARSE = (golay(), golay(), repetition(5), repetition(5), repetition(5), repetition(3))
 FINE = (golay(), golay(), hamming(4), FREE, FREE, FREE)
 
@@ -202,38 +215,45 @@ def links(prints: DataFrame, covering: Covering) -> DataFrame:
 
         return at_anchors
 
-    homes = prints.select("fp").mapInArrow(place(True), "anchor long, fp long").withColumnRenamed("fp", "a")
-    visits = prints.select("fp").mapInArrow(place(False), "anchor long, fp long").withColumnRenamed("fp", "b")
+    prints = prints.select("fp").repartition("fp")  # a fingerprint's visits are many times its size, so all tasks take part
+    homes = prints.mapInArrow(place(True), "anchor long, fp long").withColumnRenamed("fp", "a")
+    visits = prints.mapInArrow(place(False), "anchor long, fp long").withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= covering.threshold)
     return homes.join(visits, "anchor").where(near).select("a", "b")
 
 
-def _grouped(docs: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def print_labels(prints: DataFrame, threshold: int = 2, codes: tuple[Code, ...] = COARSE) -> DataFrame:
+    """fp, label: the component of each fingerprint that is linked to another one. prints has distinct, non-null fp."""
+    return connected_components(links(prints, Covering(codes, threshold))).withColumnRenamed("node", "fp")
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: int, codes: tuple[Code, ...]) -> tuple[DataFrame, DataFrame]:
     """The rows' fingerprints, and fp, label, first_id: each fingerprint's component and its smallest doc_id."""
     own = stored(fingerprints(docs, shingle), "fingerprints")
     prints = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    covering = Covering(COARSE if prints.count() < 1 << 28 else FINE, threshold)
-    labels = connected_components(links(prints, covering)).withColumnRenamed("node", "fp")
+    labels = print_labels(prints, threshold, codes)
     return own, prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, codes: tuple[Code, ...] = COARSE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id, a row for each row of docs.
 
     Fingerprints within the threshold are linked; component_id is the smallest doc_id that links reach. Texts without
     words (null, empty) have fingerprint zero and are linked like others. Rows with a null doc_id take part, but give
     no id; a component without ids has a null one. Equal fingerprints are made one first, so that copies cost nothing.
+    Links do not depend on the codes; with more anchors (FINE) fewer fingerprints that are far apart meet at one, which
+    pays above about 2^28 fingerprints.
     """
-    own, known = _grouped(docs, shingle, threshold)
+    own, known = _grouped(docs, shingle, threshold, codes)
     ids = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_print = stored(known.select("fp", "label").join(ids, "label").select("fp", "component_id"), "components")
     return own.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2, codes: tuple[Code, ...] = COARSE) -> DataFrame:
     """The rows of docs, with all columns, that stand for their components: the smallest doc_id, null last, and one of
     the rows that share it."""
-    own, known = _grouped(docs, shingle, threshold)
+    own, known = _grouped(docs, shingle, threshold, codes)
     return first_rows(docs, own.join(known.select("fp", "label"), "fp"))
 
 
