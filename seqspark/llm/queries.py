@@ -65,9 +65,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def thin_urls(pages: DataFrame) -> DataFrame:
+    """The urls of thin pages: those that have no page of at least 1,200 characters of html (null: none)."""
+    size = F.coalesce(F.length("html"), F.lit(0))
+    return pages.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.max(size).alias("size")).where("size < 1200").select("url")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list stands for one of spam hosts: those whose first label starts with spam."""
-    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, F.col("host").startswith("spam"))
+    """The list is a table of urls, those of thin pages; the cascade's universe are all urls of pages."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, RULES, thin_urls(pages))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +136,9 @@ FROM d
 
 OP9_SQL = """
 WITH u AS (
-  SELECT page_id, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-l AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+  SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+thin AS (SELECT coalesce(url, '') AS url FROM pages GROUP BY 1 HAVING max(length(coalesce(html, ''))) < 1200),
+l AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path, url IN (SELECT url FROM thin) AS listed FROM u),
 r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
@@ -138,7 +146,7 @@ r AS (
     WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM l)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN prefix(host, 'spam') THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM r
 """
 

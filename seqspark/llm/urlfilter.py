@@ -1,4 +1,4 @@
-"""URL filters: host and path rules, and a Bloom filter cascade over the hosts of a corpus.
+"""URL filters: host and path rules, and a Bloom filter cascade over the keys of a corpus.
 
 A cascade answers membership exactly for every key of the universe that it was built over. Level 1 encodes the listed
 keys, level 2 the unlisted keys that pass level 1, level 3 the listed keys that pass level 2, and so on until no false
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import LOWER, UPPER, stored
+from seqspark.llm.common import LOWER, UPPER, discard, stored
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -33,9 +33,12 @@ def path_of(url: str = "url") -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """The longest rule (host and path together) that fits, like net/, and its verdict; null if none does."""
+    """The longest rule (host and path together) that fits, like net/, and its verdict; null if none does.
+
+    Of rules of one length that fit, that with the longer host decides; of equal rules with both verdicts, block.
+    """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule_host, rule_path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for rule_host, rule_path, says in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block")):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         name, verdict = F.when(fits, rule_host + rule_path).otherwise(name), F.when(fits, says).otherwise(verdict)
     return name, verdict
@@ -107,15 +110,17 @@ def shard_of(h2: Column, shards: int) -> Column:
 CASCADE = "shard int, level int, n_hashes int, bits binary"
 
 
-def build_cascade(universe: DataFrame, key: str, listed: Column, keys_per_shard: int = 1 << 16, least_shards: int = 16) -> tuple[DataFrame, int]:
+def build_cascade(universe: DataFrame, key: str, listed: DataFrame, keys_per_shard: int = 1 << 16, least_shards: int = 16) -> tuple[DataFrame, int]:
     """The cascade's levels and its number of shards, over all distinct values of universe[key].
 
-    listed is a boolean expression of the key alone. A null key is taken for an empty one; an empty universe has an
-    empty cascade. Keys that many rows share are made one before the shuffle, and a shard gets about keys_per_shard.
+    listed is a table whose first column has the listed keys, of any number; those outside the universe have no effect,
+    as nobody asks for them. A null key is taken for an empty one, in both tables; an empty universe has an empty cascade.
+    Keys that many rows share are made one before the shuffle, and a shard gets about keys_per_shard.
     """
-    name = F.coalesce(F.col(key), F.lit(""))
     h1, h2 = hashes(F.col("key"))
-    keys = universe.select(name.alias("key"), F.coalesce(listed, F.lit(False)).alias("listed")).groupBy("key").agg(F.max("listed").alias("listed"))
+    asked = universe.select(F.coalesce(F.col(key), F.lit("")).alias("key"), F.lit(True).alias("there"), F.lit(False).alias("listed"))
+    named = listed.select(F.coalesce(F.col(listed.columns[0]), F.lit("")).alias("key"), F.lit(False).alias("there"), F.lit(True).alias("listed"))
+    keys = asked.unionByName(named).groupBy("key").agg(F.max("there").alias("there"), F.max("listed").alias("listed")).where("there")
     keys = stored(keys.select(h1.alias("h1"), h2.alias("h2"), "listed"), "universe")
     shards = max(least_shards, -(-keys.count() // keys_per_shard))
 
@@ -126,15 +131,17 @@ def build_cascade(universe: DataFrame, key: str, listed: Column, keys_per_shard:
         )
 
     by_shard = keys.select("h1", "h2", "listed", shard_of(F.col("h2"), shards).alias("shard")).groupBy("shard")
-    return stored(by_shard.applyInPandas(build, CASCADE), "cascade"), shards
+    cascade = stored(by_shard.applyInPandas(build, CASCADE), "cascade")
+    discard(keys)
+    return cascade, shards
 
 
-def in_cascade(rows: DataFrame, key: str, cascade: DataFrame, shards: int, out: str = "listed", broadcast_bytes: int = 1 << 26) -> DataFrame:
+def in_cascade(rows: DataFrame, key: str, cascade: DataFrame, shards: int, out: str = "listed", broadcast_bytes: int = 1 << 26, salts: int = 64) -> DataFrame:
     """rows with a boolean column out: whether the row's key is listed; every key must be of the universe.
 
-    A cascade of up to broadcast_bytes is broadcast. A larger one goes to the rows: both are dealt by shard and by a
-    salt, each shard's levels come first in a partition sorted so, and rows stream past them. A column named out is
-    replaced.
+    A cascade of up to broadcast_bytes is broadcast. A larger one goes to the rows: both are dealt by shard and by one of
+    salts salts (so many tasks share a shard's rows), each shard's levels come first in a partition sorted so, and rows
+    stream past them. A column named out is replaced.
     """
     size = cascade.agg(F.coalesce(F.sum(F.octet_length("bits") + 16), F.lit(0)).alias("n")).first()["n"]
     h1, h2 = hashes(F.coalesce(F.col(key), F.lit("")))
@@ -155,10 +162,10 @@ def in_cascade(rows: DataFrame, key: str, cascade: DataFrame, shards: int, out:
                 yield pd.Series(answer)
 
         return rows.withColumn(out, ask(h1, h2, shard_of(h2, shards)))
-    return _in_large_cascade(rows, h1, h2, cascade, shards, out)
+    return _in_large_cascade(rows, h1, h2, cascade, shards, out, salts)
 
 
-def _in_large_cascade(rows: DataFrame, h1: Column, h2: Column, cascade: DataFrame, shards: int, out: str, salts: int = 64) -> DataFrame:
+def _in_large_cascade(rows: DataFrame, h1: Column, h2: Column, cascade: DataFrame, shards: int, out: str, salts: int) -> DataFrame:
     rows = rows.drop(out)
     kind = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rows.schema)}>"
     tail = "shard int, salt int, level int, n_hashes int, bits binary, h1 bigint, h2 bigint"
@@ -201,13 +208,15 @@ def _in_large_cascade(rows: DataFrame, h1: Column, h2: Column, cascade: DataFram
     return done.select(*[F.col(f"row.`{c}`") for c in rows.columns], f"`{out}`")
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: Column, broadcast_bytes: int = 1 << 26) -> DataFrame:
-    """page_id, host, path, rule, verdict. The longest rule decides; without one, a page whose host is listed is blocked.
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, key: str = "url", broadcast_bytes: int = 1 << 26) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed. The longest rule decides; without one, a listed page is blocked.
 
-    listed is a boolean expression of host. A cascade over all hosts of pages answers it.
+    key is what the list has: whole urls (a null one is empty) or hosts, as host_of() gives them. listed is a table whose
+    first column has the keys. A cascade over all keys of pages answers for each page; the tables are not joined.
     """
-    rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
-    cascade, shards = build_cascade(rows, "host", listed)
+    rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path"), F.coalesce("url", F.lit("")).alias("url"))
+    cascade, shards = build_cascade(rows, key, listed)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    asked = in_cascade(rows, "host", cascade, shards, "listed", broadcast_bytes)
-    return asked.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    asked = in_cascade(rows, key, cascade, shards, "listed", broadcast_bytes)
+    said = F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))
+    return asked.select("page_id", "host", "path", name.alias("rule"), said.alias("verdict"), "listed")
