@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import WORD_BYTES, utf8, word_chunks
@@ -22,9 +22,12 @@ from seqspark.llm.common import WORD_BYTES, utf8, word_chunks
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled texts of each class that the network learns from, at most; sample_bytes: and of each text's length.
+    """What the network learns from is bounded: sample labelled texts of each class at most, sample_bytes of them together
+    at most, and none of over text_bytes.
 
-    A sample of few texts is gone through more often than epochs, for least_steps steps at least.
+    Of a toxic text the window that scores highest is learned from in each epoch; of a clean one the two highest, and of
+    all others of clean texts every spread-th by score, as there are many. Scoring reads all windows. A sample of few
+    texts is gone through more often than epochs, for least_steps steps at least.
     """
 
     window: int = 128
@@ -39,8 +42,10 @@ class Settings:
     word_dropout: float = 0.9
     decay: float = 0.1
     least_steps: int = 400
+    spread: int = 16
     sample: int = 2000
-    sample_bytes: int = 1 << 16
+    sample_bytes: int = 1 << 24
+    text_bytes: int = 1 << 16
     seed: int = 7
 
 
@@ -251,7 +256,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Ne
         logit = net.text_logits(words)[0] if epoch else rng.normal(size=len(text))
         order = np.lexsort((-logit, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        chosen = np.concatenate([order[(rank == 0) | (rank == 1) & (label[text[order]] == 0)], order[(rank > 1) & (label[text[order]] == 0)][::16]])
+        chosen = np.concatenate([order[(rank == 0) | (rank == 1) & (label[text[order]] == 0)], order[(rank > 1) & (label[text[order]] == 0)][:: s.spread]])
         epochs = max(epochs, -(-s.least_steps // -(-len(chosen) // s.batch)))
         rng.shuffle(chosen)
         rate = s.rate * (1 - epoch / epochs) ** 0.5
@@ -276,17 +281,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network:
-    """Train on up to s.sample labelled texts of each class, chosen by a hash of doc_id, none of them held out.
+    """Train on labelled texts that docs has, within the bounds of s, chosen by a hash of doc_id, none of them held out.
 
-    A doc_id with several labels is toxic if one of them says so; null labels are left out. Texts of over s.sample_bytes
-    bytes are not learned from (they are scored like all others). One task trains: the sample is bounded, and the task
-    runs numpy on one core, as Spark sets it up.
+    A doc_id with several labels is toxic if one of them says so; null labels are left out. Labels without a text, or
+    with one of over s.text_bytes, do not use up the sample (such texts are scored like all others). One task trains: the
+    sample is bounded, and the task runs numpy on one core, as Spark sets it up. It reads the sample in the order of
+    doc_id, so that a run repeats on one machine; another machine's float32 sums differ in their last digits, and with
+    them what is learned.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", utf8().alias("data")).where(F.octet_length("data") <= s.sample_bytes)
-    classes = [known.where("toxic > 0"), known.where("toxic <= 0")]
-    chosen = [c.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample) for c in classes]
-    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("data").alias("data"))
+    texts = docs.select("doc_id", utf8().alias("data")).where(F.octet_length("data") <= s.text_bytes)
+    there = texts.groupBy("doc_id").agg(F.max(F.octet_length("data")).alias("size")).join(known, "doc_id")
+    classes = [there.where("toxic > 0"), there.where("toxic <= 0")]
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over s.sample rows at most
+    chosen = [c.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).withColumn("so_far", so_far).where(F.col("so_far") <= s.sample_bytes) for c in classes]
+    chosen = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("data").alias("data"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["doc_id"], r["data"], r["toxic"] > 0) for batch in batches for r in batch.to_pylist())

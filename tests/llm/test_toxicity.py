@@ -69,12 +69,30 @@ def test_edge_rows_and_labels(spark):
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held = op2_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    held = op2_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").select("doc_id", "score", "predicted", "toxic").toPandas()
     wrong = held[held.predicted != held.toxic]
     assert len(held) > 500 and held.toxic.sum() > 40
     assert len(wrong) <= 0.03 * len(held)
     toxic, clean = held.score[held.toxic == 1].to_numpy(), held.score[held.toxic == 0].to_numpy()
     assert (toxic[:, None] > clean[None]).mean() > 0.94  # some toxic texts of these tables bear no sign of it
+    # Words that mark toxicity: in a tenth of the toxic texts that may be learned from, in hardly a clean one.
+    learned = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id").where(~toxicity.held_out() & F.col("toxic").isNotNull())
+    words = learned.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))))).groupBy("col").pivot("toxic", [0, 1]).count().na.fill(0).toPandas()
+    n_toxic = learned.where("toxic = 1").count()
+    marks = [w for w, n0, n1 in words.itertuples(index=False) if n1 >= n_toxic / 10 and n0 <= n1 / 50]
+    held = held.merge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas(), on="doc_id")
+    marked = held[(held.toxic == 1) & held.text.fillna("").str.lower().str.contains("|".join(rf"\b{w}\b" for w in marks))]
+    assert len(marks) >= 5 and len(marked) > 60 and marked.predicted.mean() >= 0.97
+    assert held.predicted[held.toxic == 1].mean() >= 0.84 and held.predicted[held.toxic == 0].mean() <= 0.02
+
+
+def test_labels_without_texts_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(k, ("you fool " if k % 2 else "nice day ") * 5) for k in range(8)] + [(8, "long " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id long, toxic int")
+    few = dataclasses.replace(SMALL, sample=1, text_bytes=200)
+    net = toxicity.fit(docs, labels, few)
+    assert net.p["out"].any()  # both classes were there
+    assert not toxicity.fit(docs, labels, dataclasses.replace(few, sample_bytes=5)).p["out"].any()
 
 
 def test_held_out_rule(spark):
