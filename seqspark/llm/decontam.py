@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import WORD_BYTES, stored, utf8, word_chunks
@@ -28,8 +28,12 @@ def words_of(data: bytes) -> list[bytes]:
     return [w for words in word_chunks(data, WORD_BYTES) for w in words]
 
 
-SEGMENT = "segment bigint, doc_ids array<bigint>, n_words array<int>, terms array<bigint>, starts array<int>, docs array<int>, positions array<int>"
-KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+SEGMENT = "segment bigint, doc_ids array<bigint>, rows array<bigint>, n_words array<int>, terms array<bigint>, starts array<int>, docs array<int>, positions array<int>"
+KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def term_of(word: bytes) -> int:
@@ -38,10 +42,10 @@ def term_of(word: bytes) -> int:
 
 
 def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_words: int = 1 << 20) -> DataFrame:
-    """Segments of about segment_words words, a row each: doc_ids and n_words; terms, sorted, where the postings of each
+    """Segments of about segment_words words, a row each: doc_ids, rows (a hash of the text) and n_words; terms, sorted, where the postings of each
     start, and the postings' documents (by place in doc_ids) and positions, sorted within a term.
 
-    With a vocabulary, the words that queries will ask for, only these have postings; other words count alone. A null
+    All words have postings; with a vocabulary only its words have, and other words count alone. A null
     text has no words; a text of more words than a segment is a segment of its own.
     """
     held = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: term_of(w) for w in vocabulary})
@@ -50,6 +54,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_w
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, made, first_id = held.value, 0, TaskContext.get().partitionId() << 32
         ids: list = []
+        rows: list[int] = []
         sizes: list[int] = []
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -57,12 +62,12 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_w
             term, doc, position = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
             order = np.argsort(term, kind="stable")
             terms, starts = np.unique(term[order], return_index=True)
-            row = (first_id + made, ids, sizes, terms, starts, doc[order], position[order])
+            row = (first_id + made, ids, rows, sizes, terms, starts, doc[order], position[order])
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, KINDS, strict=True)], names)
 
         total = 0
         for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for doc_id, own, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "data")), strict=True):
                 n = 0
                 for words in word_chunks(data, WORD_BYTES):
                     numbers = map(term_of, words) if known is None else map(known.get, words, repeat(0))
@@ -71,15 +76,16 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_w
                     parts.append((terms[at], np.full(len(at), len(ids), np.int32), (at + n).astype(np.int32)))
                     n += len(words)
                 ids.append(doc_id)
+                rows.append(own)
                 sizes.append(n)
                 total += n
                 if total >= segment_words or len(ids) >= 1 << 16:
                     yield segment()
-                    ids, sizes, parts, total, made = [], [], [], 0, made + 1
+                    ids, rows, sizes, parts, total, made = [], [], [], [], 0, made + 1
         if ids:
             yield segment()
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("data")).mapInArrow(index, SEGMENT)
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("row"), utf8().alias("data")).mapInArrow(index, SEGMENT)
 
 
 @dataclass
@@ -126,16 +132,36 @@ def phrase(segment: Segment, terms: np.ndarray, order: np.ndarray) -> np.ndarray
     return found
 
 
+def _near(postings: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """Those of the sorted postings that are up to reach words away from one of the sorted places in the same text."""
+    low = np.searchsorted(postings, np.maximum((places & 0xFFFFFFFF) - reach, 0) | places >> 32 << 32)
+    high = np.maximum(np.searchsorted(postings, places + reach, "right"), low)
+    marks = np.bincount(low, minlength=len(postings) + 1) - np.bincount(high, minlength=len(postings) + 1)
+    return postings[np.cumsum(marks[:-1]) > 0]
+
+
 def proximity(segment: Segment, terms: np.ndarray, order: np.ndarray, within: int) -> np.ndarray:
-    """Postings of the rarest term that have each other term up to within words away, in any order, in the same text."""
-    found = segment.of_term(terms[order[0]])
-    for at in order[1:]:
-        if not len(found):
-            break
-        other = segment.of_term(terms[at])
-        low = np.maximum((found & 0xFFFFFFFF) - within, 0) | (found >> 32 << 32)
-        found = found[np.searchsorted(other, low) < np.searchsorted(other, found + within, "right")]
-    return found
+    """Where the shortest stretches of a text begin that hold all of the different terms, in any order, in up to within
+    words: those in which no shorter stretch does. order: the terms' places, the rarest first.
+
+    Only what is near the rarest term's postings is looked at, which changes the work, not the answer.
+    """
+    places = segment.of_term(terms[order[0]])
+    lists = [places]
+    for term in dict.fromkeys(terms[order[1:]].tolist()):
+        if term == terms[order[0]]:
+            continue
+        lists.append(_near(segment.of_term(term), places, within - 1))
+        places = _near(places, lists[-1], within - 1)
+        if not len(places):
+            return places
+    ends = np.unique(np.concatenate(lists))
+    begins = ends.copy()
+    for own in lists:
+        at = np.searchsorted(own, ends, "right") - 1
+        begins = np.where(at >= 0, np.minimum(begins, own[at]), -1)
+    fits = (begins >> 32 == ends >> 32) & (ends - begins < within)
+    return np.unique(begins[fits])
 
 
 @dataclass(frozen=True)
@@ -173,7 +199,7 @@ def ask(segment: Segment, queries: Queries, within: int | None = None) -> Iterat
                 yield items[k], windows.shape[1], found
 
 
-MARKS = "segment bigint, doc_ids array<bigint>, n_words array<int>, hit binary, item_docs array<int>, item_names array<string>"
+MARKS = "segment bigint, doc_ids array<bigint>, rows array<bigint>, n_words array<int>, hit binary, item_docs array<int>, item_names array<string>"
 
 
 def mark(index: DataFrame, queries: Queries) -> DataFrame:
@@ -196,40 +222,52 @@ def mark(index: DataFrame, queries: Queries) -> DataFrame:
                     pairs.update((int(d), item) for d in np.unique(doc) for item in items)
                 bits = np.packbits(np.cumsum(change[:-1]) > 0).tobytes()
                 row = (bits, [d for d, _ in sorted(pairs)], [i for _, i in sorted(pairs)])
-                own = batch.select(["segment", "doc_ids", "n_words"]).slice(k, 1).columns
+                own = batch.select(["segment", "doc_ids", "rows", "n_words"]).slice(k, 1).columns
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], names)
 
     return index.mapInArrow(search, MARKS)
 
 
-HITS = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>"
+HITS = "doc_id bigint, row bigint, n_words bigint, n_hit bigint, items array<string>"
 
 
 def counted(marks: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted items of each document; marks has arrays of marks, one for each block."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    """doc_id, row, n_words, n_hit and the sorted items of each document. Marks of one segment must follow one another;
+    one segment's bits are held at a time."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
     names = [x.split()[0] for x in HITS.split(", ")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hit, items = None, np.zeros(0, np.uint8), {}
+
+        def done() -> pa.RecordBatch:
+            _, ids, rows, sizes = held
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            so_far = np.concatenate([[0], np.cumsum(np.unpackbits(hit, count=first[-1]), dtype=np.int64)])
+            out = (ids, rows, sizes, so_far[first[1:]] - so_far[first[:-1]], [sorted(items.get(d, ())) for d in range(len(sizes))])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+
         for batch in batches:
             for k in range(len(batch)):
-                ids, sizes = batch.column("doc_ids")[k].values, batch.column("n_words")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                bits = [np.frombuffer(x, np.uint8) for x in batch.column("hit")[k].as_py()]
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                hit = np.concatenate([[0], np.cumsum(np.unpackbits(np.bitwise_or.reduce(bits), count=first[-1]), dtype=np.int64)])
-                items: list[set[str]] = [set() for _ in sizes]
-                for docs, own in zip(batch.column("item_docs")[k].as_py(), batch.column("item_names")[k].as_py(), strict=True):
-                    for d, item in zip(docs, own, strict=True):
-                        items[d].add(item)
-                out = (ids, sizes, hit[first[1:]] - hit[first[:-1]], [sorted(x) for x in items])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+                segment = batch.column("segment")[k].as_py()
+                if held is None or segment != held[0]:
+                    if held is not None:
+                        yield done()
+                    sizes = batch.column("n_words")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    held = (segment, batch.column("doc_ids")[k].values, batch.column("rows")[k].values, sizes)
+                    hit, items = np.zeros(-(-int(sizes.sum()) // 8), np.uint8), {}
+                hit = hit | np.frombuffer(batch.column("hit")[k].as_py(), np.uint8)
+                for d, item in zip(batch.column("item_docs")[k].as_py(), batch.column("item_names")[k].as_py(), strict=True):
+                    items.setdefault(d, set()).add(item)
+        if held is not None:
+            yield done()
 
     return marks.mapInArrow(count, HITS)
 
 
 def search_near(index: DataFrame, queries: Queries, within: int) -> DataFrame:
-    """doc_id, item, position: proximity matches, those places of the rarest term that have all other terms of the query
-    up to within words away, in any order."""
+    """doc_id, item, position: proximity matches, the first places of the shortest stretches of up to within words that
+    hold all words of a query, in any order. What documents share a segment makes no difference."""
     held = index.sparkSession.sparkContext.broadcast(queries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,42 +283,52 @@ def search_near(index: DataFrame, queries: Queries, within: int) -> DataFrame:
 
 
 def blocks_of(benchmark: DataFrame, size: int, block_bytes: int) -> tuple[int, Iterator[Queries]]:
-    """The number of blocks of about block_bytes of items, and each block's windows; what is held at once is bounded."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8().alias("data"))
+    """The number of blocks of about block_bytes of items, and each block's windows; what is held at once is bounded.
+    Repeated rows are taken once."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8().alias("data")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // block_bytes))
     blocks = (rows.where(F.pmod(F.xxhash64("item", "data"), F.lit(n)) == k).collect() for k in range(n))
     return n, (Queries.windows(((r["item"], bytes(r["data"])) for r in block), size) for block in blocks)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, per: int = 20, block_bytes: int = 1 << 24) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted names), contaminated, a row for each row of docs.
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, per: int = 20, block_bytes: int = 1 << 24, vocabulary: set[bytes] | None = None
+) -> DataFrame:
+    """doc_id, row (a hash of the text), n_words, n_hit, items (sorted names), contaminated, a row for each row of docs.
 
     A window is size consecutive words of an item; an item of fewer words, but not none, is one window. A document's
     word inside any occurrence of a window is hit; the document is contaminated if a word is hit and n_hit is at least
     a per-th of n_words. Null texts have no words; a null item_id is an empty name, and items of one name are one item.
 
-    A benchmark of up to block_bytes is broadcast, and postings are stored for its words only. A larger one is taken
-    in blocks against an index of all words, and the blocks' marks are put together by segment.
+    The index has the postings of all words, or of the vocabulary's if one is given, which must then hold all words of
+    the benchmark. The benchmark is broadcast in blocks of up to block_bytes, one after another; the marks of several
+    blocks are brought together by segment.
     """
     n, blocks = blocks_of(benchmark, size, block_bytes)
+    index = stored(build_index(docs, vocabulary), "index")
     if n == 1:
-        queries = next(blocks)
-        marks = mark(stored(build_index(docs, set(queries.words)), "index"), queries)
-        marks = marks.select("doc_ids", "n_words", *[F.array(c).alias(c) for c in ("hit", "item_docs", "item_names")])
+        marks = mark(index, next(blocks))
     else:
-        index = stored(build_index(docs), "index")
-        each = reduce(DataFrame.unionByName, [stored(mark(index, queries), "marks").drop("doc_ids", "n_words") for queries in blocks])
-        lists = each.groupBy("segment").agg(*[F.collect_list(c).alias(c) for c in ("hit", "item_docs", "item_names")])
-        marks = index.select("segment", "doc_ids", "n_words").join(lists, "segment").drop("segment")
+        marks = reduce(DataFrame.unionByName, [stored(mark(index, queries), "marks") for queries in blocks])
+        marks = marks.repartition("segment").sortWithinPartitions("segment")
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return counted(marks).withColumn("contaminated", (n_hit > 0) & (per * n_hit >= n_words))
 
 
+def near_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, within: int = 26, block_bytes: int = 1 << 24) -> DataFrame:
+    """doc_id, item: the items that have a window (as in contamination()) whose words all stand, in any order, in some
+    stretch of up to within words of the document; each pair once, for rows of one doc_id together."""
+    index = stored(build_index(docs), "index")
+    _, blocks = blocks_of(benchmark, size, block_bytes)
+    found = [stored(search_near(index, queries, within).select("doc_id", "item").distinct(), "near") for queries in blocks]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with all columns, that are not contaminated. Verdicts go by a hash of doc_id and text."""
-    own = F.xxhash64("doc_id", "text")
-    found = contamination(docs.select(own.alias("doc_id"), "text"), benchmark, **how)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("own")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
-    return rows.join(bad, "own", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    """The rows of docs, with all columns, that are not contaminated. Verdicts go by doc_id and a hash of the text."""
+    found = contamination(docs, benchmark, **how).where("contaminated")
+    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("own"))
+    clean = rows.join(bad, (F.col("own") == F.col("bad_row")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return clean.select(*[F.col(f"held.`{c}`") for c in docs.columns])

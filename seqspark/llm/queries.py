@@ -47,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of operator 5: documents that hold all words of a benchmark window within 26 words."""
+    return decontam.near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", sharding.byte_size().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_urls": op9_urls,
     "op10_lines": op10_lines,
+    "near_items": near_items,
 }
 
 OP4_SQL = r"""
@@ -165,6 +171,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+NEAR_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT item, least(13, len(w)) AS n, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, list_sort(list_distinct(w[k:k + n - 1])) AS win FROM spans),
+places AS (SELECT doc_id, w, k, w[k] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM words)),
+known AS (SELECT DISTINCT term FROM (SELECT unnest(win) AS term FROM windows)),
+often AS (SELECT term, count(*) AS n FROM places JOIN known USING (term) GROUP BY term),
+anchored AS (SELECT item, win, arg_min(term, (coalesce(n, 0), term)) AS anchor FROM (SELECT item, win, unnest(win) AS term FROM windows) LEFT JOIN often USING (term) GROUP BY item, win)
+SELECT DISTINCT doc_id, item FROM anchored JOIN places ON term = anchor
+WHERE len(list_filter(range(greatest(1, k - 25), k + 1), lambda s: list_has_all(w[s:s + 25], win))) > 0
+"""
+
 OP10_SQL = """
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
@@ -175,4 +194,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op9_urls": OP9_SQL, "op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op9_urls": OP9_SQL, "op10_lines": OP10_SQL, "near_items": NEAR_SQL}

@@ -50,15 +50,34 @@ def random_tables(seed=3):
     return docs, items
 
 
+def found(df):
+    return rows(df.drop("row"))
+
+
+def brute_near(words, terms, within):
+    """First places of the shortest stretches that hold all terms, each stretch tried."""
+    spans = [(a, b) for a in range(len(words)) for b in range(a + 1, min(len(words), a + within) + 1) if set(terms) <= set(words[a:b])]
+    return {a for a, b in spans if not any((c, d) != (a, b) and a <= c and d <= b for c, d in spans)}
+
+
 def test_phrases_match_brute_force(spark):
     docs, items = random_tables()
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    short = [d for d in docs if len(d[1] or "") < 10_000]
-    keep = "text IS NULL OR length(text) < 10000"
-    got = decontam.contamination(df.where(keep), bench, size=4)
-    assert rows(got) == brute(short, items, 4)
-    in_blocks = decontam.contamination(df.where(keep), bench, size=4, block_bytes=40)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items * 3, "item_id long, text string")
+    short = [(d, t if len(t or "") < 10_000 else t[:400]) for d, t in docs]
+    df = df.withColumn("text", decontam.F.when(decontam.F.length("text") >= 10_000, decontam.F.substring("text", 1, 400)).otherwise(decontam.F.col("text")))
+    got = decontam.contamination(df, bench, size=4)
+    assert found(got) == brute(short, items, 4)
+    in_blocks = decontam.contamination(df, bench, size=4, block_bytes=40)
     assert rows(in_blocks) == rows(got)
+    words = {w.encode() for _, t in items for w in split(t)}
+    assert rows(decontam.contamination(df, bench, size=4, vocabulary=words)) == rows(got)
+
+
+def test_long_texts_are_searched_whole(spark):
+    text = " ".join(f"w{k % 5003}" for k in range(60_000))
+    items = [(1, "w5000 w5001 w5002 w0"), (2, "w1 w0"), (3, "w59999")]
+    got = decontam.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=13).first()
+    assert (got["n_words"], got["n_hit"], got["items"]) == (60_000, 4 * (60_000 // 5003), ["1"])
 
 
 def test_segments_do_not_change_results(spark):
@@ -67,26 +86,21 @@ def test_segments_do_not_change_results(spark):
     queries_ = decontam.Queries.windows([(str(i), (t or "").encode()) for i, t in items], 4)
     small = decontam.mark(decontam.build_index(df, set(queries_.words), segment_words=50), queries_)
     large = decontam.mark(decontam.build_index(df), queries_)
-    listed = lambda m: rows(decontam.counted(m.select("doc_ids", "n_words", *[decontam.F.array(c).alias(c) for c in ("hit", "item_docs", "item_names")])))
-    assert listed(small) == listed(large) and small.count() > large.count()
+    assert found(decontam.counted(small)) == found(decontam.counted(large)) and small.count() > large.count()
 
 
-def test_proximity_matches_brute_force(spark):
+def test_proximity_matches_brute_force_in_any_segments(spark):
     docs, _ = random_tables(4)
-    docs = docs[:60]
-    asked = [("p", "a b"), ("q", "c d b"), ("r", "zz a")]
+    docs = [*docs[:60], (900, "b x a x c"), (901, "a a a a"), (902, "c b a c"), (902, "a"), (None, "a b c")]
+    asked = [("p", "a b"), ("q", "c d b"), ("r", "zz a"), ("s", "a b c"), ("t", "a b a"), ("u", "c")]
     queries_ = decontam.Queries.windows([(n, t.encode()) for n, t in asked], 3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = rows(decontam.search_near(decontam.build_index(df.coalesce(1)), queries_, 2).select("doc_id", "item").distinct())
-    want = set()
-    for doc_id, text in docs:
-        words = split(text)
-        for name, query in asked:
-            terms = query.split()
-            counts = sorted(terms, key=lambda t: sum(split(x).count(t) for _, x in docs))
-            if any(all(any(words[j] == t for j in range(max(0, k - 2), min(len(words), k + 3))) for t in terms) for k in range(len(words)) if words[k] == counts[0]):
-                want.add((doc_id, name))
-    assert set(got) == want and got
+    for within in (2, 3, 5):
+        want = sorted({(d, n, at) for d, t in docs for n, q in asked for at in brute_near(split(t), q.split(), within)}, key=repr)
+        for words in (1, 20, 1 << 20):
+            got = decontam.search_near(decontam.build_index(df.coalesce(1), segment_words=words), queries_, within)
+            assert rows(got.distinct()) == want and len(want) > 100
+    assert (900, "s", 0) in want
 
 
 def test_edge_rows_and_empty_tables(spark):
@@ -102,3 +116,4 @@ def test_edge_rows_and_empty_tables(spark):
 def test_matches_sql(spark):
     sf_dir = "/root/testdata/sf0.001"
     same(queries.op5_decontamination(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["op5_decontamination"])
+    same(queries.near_items(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["near_items"])
