@@ -104,47 +104,91 @@ def _round(groups: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(fraction=fraction, done=done)
 
 
-def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, leaf_rows: int = 4096, fan_in: int = 16) -> DataFrame:
-    """source, size, row, source_size, target and copies for each of rows, which has source, size and row.
+#: Rows of as many sources are broadcast at most; of more, rows and sources are dealt alike, and Spark splits a hot source.
+MOST_BROADCAST = 1 << 16
+#: A row is repeated in steps of so many.
+CHUNK = 1024
 
-    row is a long that tells the rows of a source apart, such as a hash: the draws come from it, so that reruns agree
-    however the rows are dealt. Rows with equal row and size are alike; which of them gets which copies does not matter.
-    A source's leaves hold about leaf_rows each. Rows of size 0 take nothing; theirs are the whole copies.
+
+def group_copies(
+    groups: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, leaf_rows: int = 4096, fan_in: int = 16, more: tuple[str, ...] = ()
+) -> DataFrame:
+    """source, size, row, n, source_size, target, copies (of all n together) and the columns more, for each of groups.
+
+    groups are of alike rows, with source, size, row and n, so that no leaf grows with repeated rows. row is a long, such
+    as a hash: the draws come from it, so that reruns agree however the rows are dealt. A source's leaves hold about
+    leaf_rows groups each. Rows of size 0 take nothing; theirs are the whole copies.
     """
-    sources = targets(rows, weights, share, most)
+    sources = targets(groups.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    whole = F.floor(ratio + EDGE)
     leaves = F.greatest(F.ceil(F.col("n_docs") / leaf_rows), F.lit(1))
-    known = sources.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("fraction"), leaves.cast("long").alias("leaves"))
-    due = rows.select("source", "size", "row").join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    known = stored(sources.select(F.col("source").alias("of"), "source_size", "target", ratio.alias("ratio"), leaves.cast("long").alias("leaves")), "ratios")
+    n_sources, n_leaves = known.agg(F.count("*"), F.coalesce(F.max("leaves"), F.lit(0))).first()
+    due = groups.select("source", "size", "row", "n", *more).join(F.broadcast(known) if n_sources <= MOST_BROADCAST else known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # Rows of size 0 have whole copies each; the others of a group share what is due to them together.
+    all_ = F.when(F.col("size") > 0, F.col("n") * F.col("ratio")).otherwise(F.col("n") * F.floor(F.col("ratio") + EDGE))
+    whole = F.floor(all_ + EDGE)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "row", "size"), 11) / F.lit(float(1 << 53))
-    leaf = F.pmod(F.xxhash64("row", "size"), F.col("leaves"))
-    due = due.withColumns({"draw": draw, "leaf": leaf, "done": (F.col("fraction") <= EDGE) | (F.col("size") <= 0)})
-    due = due.withColumn("fraction", F.when(F.col("done"), 0.0).otherwise(F.col("fraction")))
-    schema = due.schema
-    levels = [due.where("done")]
-    left = due.where("NOT done")
-    n = sources.agg(F.coalesce(F.max(leaves), F.lit(0)).alias("n")).first()["n"]
-    while n:
-        rounded = stored(left.groupBy("source", "leaf").applyInPandas(_round, schema), "rounded")
+    fraction = F.greatest(all_ - whole, F.lit(0.0))
+    due = due.withColumns({"whole": whole, "fraction": fraction, "draw": draw, "leaf": F.pmod(F.xxhash64("row", "size"), F.col("leaves")), "done": (fraction <= EDGE) | (F.col("size") <= 0)})
+    due = due.drop("ratio").withColumn("fraction", F.when(F.col("done"), 0.0).otherwise(F.col("fraction")))
+    due = stored(due, "due")
+    levels, left = [due.where("done")], due.where("NOT done")
+    while n_leaves:
+        rounded = stored(left.groupBy("source", "leaf").applyInPandas(_round, due.schema), "rounded")
         levels.append(rounded.where("done"))
         left = rounded.where("NOT done").withColumns({"leaf": F.floor(F.col("leaf") / fan_in), "leaves": F.ceil(F.col("leaves") / fan_in)})
-        n = -(-n // fan_in) if n > 1 else 0
+        n_leaves = -(-n_leaves // fan_in) if n_leaves > 1 else 0
     out = reduce(DataFrame.unionByName, levels)
-    return out.select("source", "size", "row", "source_size", "target", (F.col("whole") + F.round("fraction").cast("long")).alias("copies"))
+    return out.select("source", "size", "row", "n", *more, "source_size", "target", (F.col("whole") + F.round("fraction").cast("long")).alias("copies"))
+
+
+def repeated(rows: DataFrame, times: Column) -> DataFrame:
+    """Each row times times, in chunks that are dealt out, so that no task writes all repetitions of one row."""
+    once, often = rows.where(times <= CHUNK), rows.where(times > CHUNK)
+    chunks = often.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / CHUNK)))).repartition(F.xxhash64("chunk", *[F.col(f"`{c}`") for c, kind in rows.dtypes if kind == "bigint"]))
+    steps = F.sequence(F.lit(1), F.least(times - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int"))
+    out = once.where(times > 0).select("*", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("step"))
+    return out.unionByName(chunks.select(*rows.columns, F.explode(steps).alias("step"))).drop("step")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """source, size, row and n, the number of rows that are alike; they are counted before the shuffle."""
+    return rows.groupBy("source", "size", "row").agg(F.count("*").alias("n"))
+
+
+def copies(rows: DataFrame, **how) -> DataFrame:
+    """source, size, row, source_size, target and copies for each of rows, which has source, size and row (a long).
+
+    Rows with equal source, size and row are alike; which of them gets which copies does not matter. The rows are read
+    once: what is worked on further are their three columns.
+    """
+    rows = stored(rows.select("source", "size", "row"), "sized")
+    found = stored(group_copies(stored(grouped(rows), "groups"), **how), "copies")
+    each = found.withColumns({"least": F.floor(F.col("copies") / F.col("n")), "more": F.pmod("copies", "n")})
+    columns = ["source", "size", "row", "source_size", "target"]
+    some = repeated(each.select(*columns, (F.col("n") - F.col("more")).alias("times"), F.col("least").alias("copies")), F.col("times"))
+    others = repeated(each.where("more > 0").select(*columns, F.col("more").alias("times"), (F.col("least") + 1).alias("copies")), F.col("times"))
+    return some.unionByName(others).drop("times")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Sizes are words; docs has source and text.
 
-    Rows are told apart by a hash of all columns; of equal rows, those that come first take a copy more than others.
-    Rows without words are taken as often as their source's whole number of copies.
+    Rows are told apart by two hashes of all columns. Equal rows are alike: each is taken as often as all are at least,
+    and one of them stands for what is left over. Rows without words are taken as often as their source's whole number
+    of copies.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = copies(docs.select("source", word_count().alias("size"), row.alias("row")), weights, share, most)
-    taken = taken.groupBy("row").agg(F.sum("copies").alias("all"), F.count("*").alias("n")).where("all > 0")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), row.alias("row"))
-    held = held.withColumn("nth", F.expr("row_number() OVER (PARTITION BY row ORDER BY row)"))
-    own = F.floor(F.col("all") / F.col("n")) + (F.col("nth") <= F.pmod("all", "n")).cast("long")
-    repeated = held.join(taken, "row").withColumn("times", own).where("times > 0").select("held", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*[F.col(f"held.`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    row, other = F.xxhash64(*names), F.xxhash64(F.lit("other"), *names)
+    sized = docs.select("source", word_count().alias("size"), row.alias("row"), other.alias("other"))
+    alike = stored(sized.groupBy("source", "size", "row", "other").agg(F.count("*").alias("n")), "groups")
+    found = group_copies(alike, **how, more=("other",)).where("copies > 0")
+    taken = stored(found.select("row", "other", F.floor(F.col("copies") / F.col("n")).alias("times"), F.pmod("copies", "n").alias("rest")), "taken")
+    held = docs.select(F.struct(*names).alias("held"), row.alias("row"), other.alias("other"))
+    out = held.join(taken.where("times > 0"), ["row", "other"]).select("held", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    rest = taken.where("rest > 0")
+    if rest.limit(1).count():
+        one = held.join(rest, ["row", "other"]).dropDuplicates(["row", "other"]).select("held", "row", "other", F.col("rest").alias("times"))
+        out = out.select("held").unionByName(repeated(one, F.col("times")).select("held"))
+    return out.select(*[F.col(f"held.`{c}`") for c in docs.columns])

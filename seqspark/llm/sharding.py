@@ -65,7 +65,7 @@ def _parted(prefix: int, bits: int) -> tuple[int, ...]:
 def find_splitters(keys: DataFrame, parts: int, total: int, tolerance: float) -> list[int]:
     """parts - 1 boundaries, as 128-bit keys in order: those below belong to the parts before. keys has k1, k2, size.
 
-    Up to MOST_PROBES counts come to the driver at once. A boundary is off its target by up to tolerance of a part,
+    Up to MOST_PROBES counts, or two for each splitter if that is more, come to the driver at once. A boundary is off its target by up to tolerance of a part,
     or by the size of one row (or of rows with equal keys) if that is larger.
     """
     allowed = tolerance * total / parts
@@ -127,14 +127,14 @@ def part_of(splitters: list[int], k1: Column, k2: Column) -> Column:
 
 
 def shard_by_bytes(
-    docs: DataFrame, shards: int = 8, size: Column | None = None, key: tuple[Column, Column] | None = None, part_bytes: int = 1 << 24, tolerance: float = 0.01
+    docs: DataFrame, shards: int = 8, size: Column | None = None, key: tuple[Column, Column] | None = None, part_bytes: int = 1 << 28, tolerance: float = 0.01
 ) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (from 0, without gaps): every row in one shard, sizes near equal.
 
     size is a row's size in bytes, by default those of its UTF-8 text plus 1; key is the sort key, two long columns, by
     default hashes of text and doc_id. A shard is made of parts of about
-    part_bytes, 4 at least, each a range of keys; a part is sorted by one task. Columns named shard and slot are
-    replaced. Nulls, empty texts and repeated rows have keys like others; equal rows get slots in any order. An empty
+    part_bytes, 4 at least, each a range of keys; a part is sorted by one task, however many parts there are. Columns
+    named shard and slot are replaced. Nulls, empty texts and repeated rows have keys like others; equal rows get slots in any order. An empty
     table stays empty.
     """
     size = byte_size() if size is None else size
@@ -144,7 +144,7 @@ def shard_by_bytes(
     keyed = rows.select(row, k1.alias("k1"), k2.alias("k2"), size.alias("size"))
     keys = stored(keyed.select("k1", "k2", "size"), "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    per_shard = min(4096, max(4, -(-total // (shards * part_bytes))))
+    per_shard = max(4, -(-total // (shards * part_bytes)))
     splitters = find_splitters(keys, shards * per_shard, total, tolerance)
     part = part_of(splitters, F.col("k1"), F.col("k2"))
     counts = {r["part"]: r["n"] for r in keys.select(part.alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
