@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each by one operator of seqspark.llm.
 
 A stage takes (spark, docs, sf_dir) and returns the rows that it keeps, with the columns of documents; the last adds
-shard and slot. run() writes each stage's rows to the shared folder and reads them back for the next one.
+shard and slot. run() writes each stage's rows to the shared folder, reads them back for the next one, and deletes what
+the stage before had written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm import decontam, mixing, nearcopies, sharding, toxicity
-from seqspark.llm.common import stored
+from seqspark.llm.common import discard, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a Jaccard similarity of 0.8 or more over shingles of five words the document with
-    the smallest doc_id; one, if rows share it."""
+    the smallest doc_id; one, if rows share it. Candidates are fingerprints linked by anchors, and min-hash fingerprints."""
     return nearcopies.keep_first(docs)
 
 
@@ -52,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
