@@ -2,7 +2,7 @@
 
 Payload bytes are stored losslessly in WAV containers of one of three telephony formats. mu-law and A-law samples
 are expanded by lookup tables, IMA ADPCM blocks are decoded with numpy, one time step across all blocks at once, and
-the decoded samples are resampled to 16-bit PCM.
+the decoded samples are resampled to 16-bit PCM, a column of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from math import gcd
 
 import numpy as np
@@ -83,30 +84,40 @@ def decode_adpcm(blocks: np.ndarray, at_once: int = 16384) -> np.ndarray:
     return out
 
 
-def resample(pcm: np.ndarray, rate_in: int, rate_out: int, taps: int = 8) -> np.ndarray:
-    """Band-limited resampling by a polyphase windowed sinc; edge samples are repeated outside the signal."""
+def resampled(pieces: Iterable[np.ndarray], rate_in: int, rate_out: int, taps: int = 8) -> Iterator[np.ndarray]:
+    """Band-limited resampling of a signal that comes in pieces, by a polyphase windowed sinc; how it is cut makes no
+    difference. Edge samples are repeated outside the signal."""
     up, down = rate_out // gcd(rate_in, rate_out), rate_in // gcd(rate_in, rate_out)
-    if up == down or not len(pcm):
-        return pcm
+    if up == down:
+        yield from pieces
+        return
     at = np.arange(taps) - taps // 2 + 1
     frac = np.arange(up)[:, None] / up
     cut = min(1.0, up / down)
     filters = cut * np.sinc(cut * (at - frac)) * np.cos(np.pi * (at - frac) / (taps + 1)) ** 2
-    filters /= filters.sum(axis=1, keepdims=True)
-    x = np.pad(pcm.astype(np.float32), (taps // 2 - 1, taps // 2), mode="edge")
-    n = -(-len(pcm) * up // down)
-    if down == 1:
-        y = np.empty((len(pcm), up), dtype=np.float32)
-        for phase in range(up):
-            y[:, phase] = pcm if phase == 0 else np.correlate(x, filters[phase].astype(np.float32), "valid")
-        y = y.ravel()
-    else:
-        t = np.arange(n, dtype=np.int64) * down
-        base, phase = t // up, t % up
-        y = np.zeros(n)
-        for k in range(taps):
-            y += filters[phase, k] * x[base + k]
-    return np.clip(np.rint(y), -32768, 32767).astype(np.int16)
+    filters = (filters / filters.sum(axis=1, keepdims=True)).astype(np.float32)
+    before, after = taps // 2 - 1, taps // 2
+    held, base = np.zeros(0, np.float32), 0  # held begins before samples ahead of sample number base
+    for piece in chain(pieces, [None]):
+        if piece is None:
+            held = np.append(held, np.repeat(held[-1:], after))
+        elif len(piece):
+            held = np.concatenate([held if len(held) else np.repeat(np.float32(piece[0]), before), piece.astype(np.float32)])
+        n = len(held) - taps + 1
+        if n <= 0:
+            continue
+        if down == 1:
+            y = np.stack([np.correlate(held, filters[k], "valid") for k in range(up)], axis=1).ravel()
+        else:
+            t = np.arange(-(-base * up // down), -(-(base + n) * up // down), dtype=np.int64) * down
+            y = sum(filters[t % up, k] * held[t // up - base + k] for k in range(taps))
+        held, base = held[n:], base + n
+        yield np.clip(np.rint(y), -32768, 32767).astype(np.int16)
+
+
+def resample(pcm: np.ndarray, rate_in: int, rate_out: int, taps: int = 8) -> np.ndarray:
+    """resampled() of a signal in one piece."""
+    return np.concatenate([np.zeros(0, np.int16), *resampled([pcm], rate_in, rate_out, taps)])
 
 
 def wav(codec: str, data: bytes, rate: int = RATE_IN) -> bytes:
@@ -152,22 +163,28 @@ def codec_of(payload: bytes) -> str:
     return ("mulaw", "alaw", "ima_adpcm")[len(payload) // BLOCK % 3]
 
 
-def decode(media: list[bytes]) -> list[np.ndarray]:
-    """The samples of each container at its own rate; ADPCM blocks of all containers are decoded together."""
+def samples_of(codec: str, data: bytes, piece_bytes: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The samples of a container's data in pieces, each from about piece_bytes of whole blocks."""
+    view, step = memoryview(data), max(BLOCK, piece_bytes // BLOCK * BLOCK)
+    for lo in range(0, len(view), step):
+        part = np.frombuffer(view[lo : lo + step], "<i2" if codec == "pcm16" else np.uint8)
+        yield decode_adpcm(part.reshape(-1, BLOCK)).ravel() if codec == "ima_adpcm" else part if codec == "pcm16" else EXPAND[codec][part]
+
+
+def decode(media: list[bytes], piece_bytes: int = 1 << 18) -> Iterator[tuple[str, int, bytes, Iterator[np.ndarray]]]:
+    """Codec, rate, data and the samples, in pieces, of each container; ADPCM blocks of all small containers are decoded
+    together, those of a large one piece by piece."""
     parts = [read_wav(m) for m in media]
-    blocks = [np.frombuffer(d, np.uint8).reshape(-1, BLOCK) for c, _, d in parts if c == "ima_adpcm"]
-    decoded = decode_adpcm(np.concatenate(blocks)) if blocks else None
-    out, at = [], 0
-    for codec, _, data in parts:
-        if codec == "ima_adpcm":
+    small = [c == "ima_adpcm" and len(d) <= piece_bytes for c, _, d in parts]
+    blocks = [np.frombuffer(d, np.uint8).reshape(-1, BLOCK) for (_, _, d), own in zip(parts, small, strict=True) if own]
+    decoded, at = decode_adpcm(np.concatenate(blocks)) if blocks else None, 0
+    for (codec, rate, data), own in zip(parts, small, strict=True):
+        if own:
             n = len(data) // BLOCK
-            out.append(decoded[at : at + n].ravel())
+            yield codec, rate, data, iter([decoded[at : at + n].ravel()])
             at += n
-        elif codec == "pcm16":
-            out.append(np.frombuffer(data, "<i2"))
         else:
-            out.append(EXPAND[codec][np.frombuffer(data, np.uint8)])
-    return out
+            yield codec, rate, data, samples_of(codec, data, piece_bytes)
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
@@ -201,55 +218,64 @@ def _groups(media: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
         yield group
 
 
-def to_pcm(stored: DataFrame, rate: int = RATE_OUT) -> DataFrame:
-    """doc_id and pcm, a 16-bit PCM WAV file of the media at the given rate."""
+class Features:
+    """Number of samples, peak, mean square and sign changes of a signal that comes as pieces of 16-bit PCM."""
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at = batch.column("doc_id"), 0
-            for group in _groups(batch.column("media").to_pylist()):
-                pcm = [wav("pcm16", resample(x, RATE_IN, rate).astype("<i2").tobytes(), rate) for x in decode(group)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), pa.array(pcm, pa.binary())], ["doc_id", "pcm"])
-                at += len(group)
+    def __init__(self) -> None:
+        self.n = self.peak = self.squares = self.changes = 0
+        self.last = None
 
-    return stored.select("doc_id", "media").mapInArrow(convert, "doc_id long, pcm binary")
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, "<i2")
+        if not len(x):
+            return
+        wide, below = x.astype(np.int64), x < 0
+        self.n += len(x)
+        self.peak = max(self.peak, int(wide.max()), -int(wide.min()))
+        self.squares += int(np.dot(wide, wide))
+        self.changes += int(np.count_nonzero(below[1:] != below[:-1])) + (self.last is not None and self.last != below[0])
+        self.last = below[-1]
 
-
-def feature(codec: str, samples: np.ndarray, rate: int) -> str:
-    """codec, number of samples, peak, mean square and sign changes of the resampled signal."""
-    x = resample(samples, RATE_IN, rate)
-    wide = x.astype(np.float64)
-    power = int(np.dot(wide, wide)) // max(1, len(x))
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"{codec} n={len(x)} peak={int(max(x.max(), -int(x.min())))} power={power} crossings={changes}"
+    def text(self, codec: str) -> str:
+        return f"{codec} n={self.n} peak={self.peak} power={self.squares // max(1, self.n)} crossings={self.changes}"
 
 
 AUDIO_FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, codec string"
+    "media_sha256 string, feature string, codec string, pcm array<binary>"
 )
 
 
-def audio_features(stored: DataFrame, rate: int = RATE_OUT) -> DataFrame:
-    """Read the stored containers back: digests of payload and container, and features of the resampled signal."""
+def audio_features(stored: DataFrame, rate: int = RATE_OUT, keep_pcm: bool = True) -> DataFrame:
+    """Read the stored containers back: digests of payload and container, the signal as resampled 16-bit PCM (pcm:
+    little-endian, in pieces of some hundred KB that follow one another), and features computed from those pieces.
+
+    A piece is decoded and resampled at a time. The pieces of one row are held together, about 4 to 8 bytes for a byte
+    of text; without keep_pcm (pcm is null) a row of any length takes the space of its container and one piece.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in AUDIO_FEATURES.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.binary())]
         for batch in batches:
             rows, at = batch.select(["doc_id", "n_bytes"]), 0
-            for group in _groups(batch.column("media").to_pylist()):
-                cols: list[list] = [[] for _ in range(7)]
-                for m, samples in zip(group, decode(group), strict=True):
-                    codec, _, data = read_wav(m)
+            for group in _groups(batch.column("media").to_pylist(), 1 << 21):
+                cols: list[list] = [[] for _ in kinds]
+                for m, (codec, rate_in, data, samples) in zip(group, decode(group), strict=True):
+                    found, pcm = Features(), []
+                    for x in resampled(samples, rate_in, rate):
+                        piece = x.astype("<i2").tobytes()
+                        found.add(piece)
+                        if keep_pcm:
+                            pcm.append(piece)
                     row = (
                         len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m),
-                        hashlib.sha256(m).hexdigest(), feature(codec, samples, rate), codec,
+                        hashlib.sha256(m).hexdigest(), found.text(codec), codec, pcm if keep_pcm else None,
                     )
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 own = rows.slice(at, len(group))
                 at += len(group)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, cols, kinds)], names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, AUDIO_FEATURES)

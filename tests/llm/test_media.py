@@ -1,11 +1,14 @@
 import hashlib
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqspark.llm import media
+from seqspark.llm import media, queries
 from tests.conftest import rows
 from tests.llm.edges import TEXTS, edge_docs, empty_docs
 
@@ -55,10 +58,47 @@ def test_resampling_keeps_a_tone():
         assert np.abs(y - want)[20:-20].max() < 400
 
 
-def test_query_matches_brute_force(spark):
-    stored = media.store_audio(edge_docs(spark))
-    got = media.audio_features(stored)
-    want = []
+def slow_resample(x, rate_in, rate_out, taps=8):
+    """Each output sample by itself: a windowed sinc around its place among the input samples."""
+    out, scale = [], min(1.0, rate_out / rate_in)
+    for t in range(-(-len(x) * rate_out // rate_in)):
+        base, frac = t * rate_in // rate_out, t * rate_in % rate_out / rate_out
+        weights = [scale * np.sinc(scale * (k - frac)) * np.cos(np.pi * (k - frac) / (taps + 1)) ** 2 for k in range(1 - taps // 2, taps // 2 + 1)]
+        values = [float(x[min(max(base + k, 0), len(x) - 1)]) for k in range(1 - taps // 2, taps // 2 + 1)]
+        out.append(max(-32768, min(32767, round(float(np.dot(weights, values)) / sum(weights)))))
+    return out
+
+
+def test_pieces_make_no_difference():
+    x = np.random.default_rng(0).integers(-32768, 32768, 3000).astype(np.int16)
+    for rate in (16000, 11025, 4000, 8000):
+        whole = media.resample(x, 8000, rate)
+        for size in (1, 5, 64, 999):
+            cut = [x[k : k + size] for k in range(0, len(x), size)]
+            assert np.array_equal(np.concatenate(list(media.resampled(cut, 8000, rate))), whole)
+        if rate != 8000:
+            assert np.abs(whole - np.array(slow_resample(x, 8000, rate))).max() <= 1
+
+
+def test_a_text_of_64_mb_takes_bounded_memory():
+    code = """
+import resource, numpy as np
+from seqspark.llm import media, queries
+data = np.random.default_rng(0).integers(0, 256, 1 << 26, dtype=np.uint8).tobytes()
+for codec in ("mulaw", "ima_adpcm"):
+    found = media.Features()
+    for x in media.resampled(media.samples_of(codec, data), 8000, 16000):
+        found.add(x.tobytes())
+print(found.n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert n == 2 * (1 << 20) * 121 and mb < 500
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    edge_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_telephony(spark, str(tmp_path))
+    want, pcm = [], {}
     for doc_id, text in TEXTS:
         data = (text or "").encode()
         payload = media.payload_of(data)
@@ -68,10 +108,18 @@ def test_query_matches_brute_force(spark):
             samples = np.array([x for k in range(0, len(payload), 64) for x in decode_block(payload[k : k + 64])], np.int16)
         else:
             samples = media.EXPAND[codec][list(payload)]
-        want.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), media.feature(codec, samples, 16000), codec))
-    assert rows(got) == sorted(want, key=repr)
-    pcm = {r["doc_id"]: bytes(r["pcm"]) for r in media.to_pcm(stored.where("doc_id = 6")).collect()}
-    assert media.read_wav(pcm[6])[:2] == ("pcm16", 16000)
+        pcm[hashlib.sha256(m).hexdigest()] = samples
+        want.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), codec))
+    assert rows(got.drop("feature", "pcm")) == sorted(want, key=repr)
+    for r in got.select("media_sha256", "feature", "pcm").collect():
+        x = np.frombuffer(b"".join(map(bytes, r["pcm"])), "<i2").tolist()
+        source = pcm[r["media_sha256"]]
+        assert len(x) == 2 * len(source)
+        if len(source) < 20_000:
+            assert np.abs(np.array(x) - slow_resample(source, 8000, 16000)).max() <= 1
+        changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r["feature"].split()[1:] == [f"n={len(x)}", f"peak={max(map(abs, x))}", f"power={sum(v * v for v in x) // len(x)}", f"crossings={changes}"]
+    assert media.audio_features(media.store_audio(edge_docs(spark)), keep_pcm=False).where("pcm IS NOT NULL").count() == 0
 
 
 def test_empty_table(spark):
