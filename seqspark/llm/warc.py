@@ -1,6 +1,6 @@
 """WARC archives of individually compressed records that share a Zstandard dictionary.
 
-An archive begins with a skippable frame that embeds the dictionary, made from the archive's own first records; one
+An archive begins with a skippable frame that embeds the dictionary, made from records all over the archive; one
 Zstandard frame per record follows. Records of equal payloads become revisits of the one with the smallest id.
 """
 
@@ -10,6 +10,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
@@ -28,19 +29,28 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def header_value(url: str) -> tuple[str, bool]:
+    """The url as a header's value, and whether its control characters (and then also %) had to be percent-encoded."""
+    if all(c >= " " and c != "\x7f" for c in url):
+        return url, False
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\x7f%" else c for c in url), True
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record without the payload if refers_to is given."""
+    """A response record, or a revisit record without the payload if refers_to is given. A null url has no header; one
+    with control characters is percent-encoded, as a header of its own then says."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    target = "".join(c for c in url or "" if c >= " ")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if url is not None:
+        target, encoded = header_value(url)
+        head += [f"WARC-Target-URI: {target}"] + ["X-Target-URI-Encoding: percent"] * encoded
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -74,13 +84,12 @@ def train(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict | No
 
 
 def archive(records: list[bytes], size: int, level: int, sample_bytes: int) -> bytes:
-    """The file's bytes: the skippable frame with the dictionary, then a frame for each record."""
-    samples, n = [], 0
-    for r in records:
-        if n >= sample_bytes:
-            break
-        samples.append(r[: sample_bytes // 8])
-        n += len(samples[-1])
+    """The file's bytes: the skippable frame with the dictionary, then a frame for each record.
+
+    The dictionary is made from every so-manieth record, about sample_bytes together, an eighth of that from one at most.
+    """
+    step = max(1, -(-sum(map(len, records)) // sample_bytes))
+    samples = [r[: max(1, sample_bytes // 8)] for r in records[::step]]
     words = train(samples, size)
     own = words.as_bytes() if words else b""
     press = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=True)
@@ -94,11 +103,18 @@ def records_of(data: bytes) -> Iterator[bytes]:
         raise ValueError("no dictionary frame")
     own = data[8 : 8 + size]
     press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own) if own else None)
-    rest = data[8 + size :]
-    while rest:
-        frame = press.decompressobj()
-        yield frame.decompress(rest)
-        rest = frame.unused_data
+    view, at = memoryview(data), 8 + size
+    while at < len(view):
+        frame, parts, step = press.decompressobj(), [], 1 << 12
+        while not frame.eof:
+            piece = view[at : at + step]
+            if not len(piece):
+                raise ValueError("the last frame is cut off")
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+            step = min(2 * step, 1 << 20)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -122,7 +138,7 @@ def write_archives(
 ) -> DataFrame:
     """Archives of about archive_bytes of records each, a row per file: n_records, archive.
 
-    The dictionary is made from the archive's first sample_bytes of records. export() puts the rows into files.
+    The dictionary is made from about sample_bytes of the archive's records. export() puts the rows into files.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +165,8 @@ RECORDS = "page_id long, url string, record_type string, payload_bytes long, pay
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of all archives; of a revisit, payload is null. Digests are checked against the payloads."""
+    """The records of all archives; of a revisit, payload is null, and so is a url that was null. Digests are checked
+    against the payloads."""
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -166,7 +183,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     if kind == "response" and (len(payload) != length or digest_of(payload) != digest):
                         raise ValueError(f"damaged record {head['warc-record-id']}")
                     kept = payload if payloads and kind == "response" else None
-                    rows.append((number(head["warc-record-id"]), head["warc-target-uri"], kind, length, digest, number(head.get("warc-refers-to")), kept))
+                    url = head.get("warc-target-uri")
+                    url = unquote(url) if url is not None and "x-target-uri-encoding" in head else url
+                    rows.append((number(head["warc-record-id"]), url, kind, length, digest, number(head.get("warc-refers-to")), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return archives.select("archive").mapInArrow(read, RECORDS)
