@@ -80,7 +80,10 @@ def next_step(active_step: Column, elapsed_ns: Column, consumed: Column, size: C
 
 @dataclass
 class KeyState:
-    """A key's ranges. watermark is the durable one; times are microseconds; end is 0 without an active range."""
+    """A key's ranges. watermark is the durable one; times are microseconds; end is 0 without an active range.
+
+    retry_after is when the next prefetch may be tried after one has failed.
+    """
 
     watermark: int = 0
     start: int = 0
@@ -92,6 +95,7 @@ class KeyState:
     last: int = 0
     evictions: int = 0
     lost: int = 0
+    retry_after: int = 0
 
     def _next_step(self, now: int, c: AllocatorConfig) -> int:
         step = max(self.step, c.default_step)
@@ -107,23 +111,34 @@ class KeyState:
         if self.watermark + step >= 1 << 63:
             raise OverflowError("no ids are left below 2^63")
         self.watermark += step
+        self.retry_after = 0
         return self.watermark - step + 1
 
-    def allocate(self, now: int, c: AllocatorConfig) -> int:
-        """The next id: evict when idle, go on to the standby range or a new one, prefetch when enough is consumed."""
+    def allocate(self, now: int, c: AllocatorConfig, stored: bool = True) -> int | None:
+        """The next id: evict when idle, go on to the standby range or a new one, prefetch when enough is consumed.
+
+        stored is false while the store refuses reservations. A request that needs a new range then fails: it has no id,
+        and leaves the state as it was, but for an eviction. A prefetch that fails is tried again by the first request
+        after reserve_timeout, or as soon as a reservation succeeds and the next range is consumed as far.
+        """
         if self.end and now - self.last >= _micros(c.idle_timeout):
             self.lost += self.end - self.current + (self.watermark - self.standby + 1 if self.standby else 0)
             self.evictions += 1
-            self.start = self.end = self.current = self.step = self.standby = 0
+            self.start = self.end = self.current = self.step = self.standby = self.retry_after = 0
         if not self.end or self.current >= self.end:
             if not self.standby:
+                if not stored:
+                    return None
                 self.standby = self._reserve(self._next_step(now, c) if self.end else c.default_step)
             self.start, self.end, self.standby = self.standby, self.watermark, 0
             self.step, self.activated, self.current = self.end - self.start + 1, now, self.start
         else:
             self.current += 1
-        if not self.standby and (self.current - self.start + 1) / (self.end - self.start + 1) >= c.prefetch_ratio:
-            self.standby = self._reserve(self._next_step(now, c))
+        if not self.standby and now >= self.retry_after and (self.current - self.start + 1) / (self.end - self.start + 1) >= c.prefetch_ratio:
+            if stored:
+                self.standby = self._reserve(self._next_step(now, c))
+            else:
+                self.retry_after = now + _micros(c.reserve_timeout)
         self.last = now
         return self.current
 
@@ -133,7 +148,10 @@ REPLAY = "sequence_key string, tie bigint, id bigint, active_step bigint, waterm
 
 def replay(requests: DataFrame, config: AllocatorConfig) -> DataFrame:
     """sequence_key, tie, id, active_step, watermark, evictions and discarded ids so far, for each request of (sequence_key,
-    ts, tie). A null key is a key of its own; requests with equal ts go by tie."""
+    ts, tie). A null key is a key of its own; requests with equal ts go by tie.
+
+    A column reserve_ok, if there is one, says whether the store answers what a request makes the key reserve (null: it
+    does); a request that fails has a null id."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = object(), KeyState()
@@ -141,24 +159,26 @@ def replay(requests: DataFrame, config: AllocatorConfig) -> DataFrame:
         kinds = [pa.string(), *[pa.int64()] * 6]
         for batch in batches:
             out: list[tuple] = []
-            for own, at, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, at, tie, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
                     key, state = own, KeyState()
-                out.append((own, tie, state.allocate(at, config), state.step, state.watermark, state.evictions, state.lost))
+                out.append((own, tie, state.allocate(at, config, ok), state.step, state.watermark, state.evictions, state.lost))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    rows = requests.select("sequence_key", F.unix_micros("ts").alias("at"), F.col("tie").cast("long").alias("tie"))
+    ok = (F.coalesce("reserve_ok", F.lit(True)) if "reserve_ok" in requests.columns else F.lit(True)).alias("ok")
+    rows = requests.select("sequence_key", F.unix_micros("ts").alias("at"), F.col("tie").cast("long").alias("tie"), ok)
     return rows.repartition("sequence_key").sortWithinPartitions("sequence_key", "at", "tie").mapInArrow(fold, REPLAY)
 
 
-def idle_candidates(state: DataFrame, cutoff: Column, most: int = 1024) -> DataFrame:
-    """Of state (slot, sequence_key, last_used) the keys last used at the cutoff or before, by slot, up to most."""
-    return state.where(F.col("last_used") <= cutoff).orderBy("slot", "sequence_key").limit(most)
+def idle_candidates(state: DataFrame, cutoff: Column, order: tuple[str, ...] = ("slot", "sequence_key"), most: int = 1024) -> DataFrame:
+    """Of state (slot, sequence_key, last_used) the keys last used at the cutoff or before, in order, up to most."""
+    return state.where(F.col("last_used") <= cutoff).orderBy(*order).limit(most)
 
 
 def cleanup_run(state: DataFrame, owned: DataFrame, cursor: int, per_run: int, cutoff: Column) -> tuple[DataFrame, int]:
-    """The idle keys of the next per_run owned slots after the cursor, in a circle, and the cursor that follows.
+    """The idle keys of the next per_run owned slots from the cursor on, in a circle, and the cursor that follows. If
+    there are more than one run takes, those of the slots that come first in the circle are taken.
 
     owned has slot; there are up to 16,384 of them, so that their order may be found in one task.
     """
@@ -168,8 +188,8 @@ def cleanup_run(state: DataFrame, owned: DataFrame, cursor: int, per_run: int, c
         return state.limit(0), 0
     start, some = cursor % n, min(per_run, n)
     turn = F.pmod(F.col("at") - start, F.lit(n))
-    run = F.broadcast(placed.where(turn < some).select("slot"))
-    return idle_candidates(state.join(run, "slot"), cutoff), (start + some) % n
+    run = F.broadcast(placed.where(turn < some).select("slot", turn.alias("turn")))
+    return idle_candidates(state.join(run, "slot"), cutoff, ("turn", "sequence_key")).drop("turn"), (start + some) % n
 
 
 def evict(state: DataFrame, candidates: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:

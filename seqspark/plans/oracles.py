@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from seqspark.functions.keys import SLOT_COUNT
 from seqspark.plans import queries as q
+from seqspark.sources.schemas import REASONS
 
 
 def _slot(key: str) -> str:
@@ -158,11 +159,12 @@ SELECT name, CASE WHEN w.name IS NULL THEN e.node_id ELSE w.node_id END AS node_
 SELECT sequence_key, count(*) AS n, count(DISTINCT id) AS n_ids, count(*) - count(DISTINCT id) AS n_duplicates, max(id) AS max_id, max(id) - count(DISTINCT id) AS n_gaps, max(mark) >= max(id) AS covered
 FROM ids JOIN marks USING (sequence_key) GROUP BY 1""",
     "allocator_metrics": f"""WITH {LOG}, last AS (SELECT sequence_key, max(us) AS us FROM log GROUP BY 1)
-SELECT count(*) AS cached_keys, 45::BIGINT AS managed_memory, 100::BIGINT AS memory_limit, CAST(0.45 AS DOUBLE) AS memory_utilization, 0 AS admission_rejected, count(*) AS cleanup_scanned, count(*) FILTER (WHERE us <= 1706486400000000) AS cleanup_evicted FROM last""",
+SELECT count(*) AS cached_keys, 45::BIGINT AS managed_memory, 100::BIGINT AS memory_limit, CAST(45 AS DOUBLE) / 100 AS memory_utilization, 0 AS admission_rejected, count(*) AS cleanup_scanned, count(*) FILTER (WHERE us <= 1706486400000000) AS cleanup_evicted FROM last""",
     "cleanup": f"""WITH {LOG}, {SLOTS}, state AS (SELECT slot, sequence_key, max(us) AS us, count(*) AS n FROM log JOIN slots USING (sequence_key) GROUP BY ALL),
-due AS (SELECT * FROM state WHERE slot BETWEEN 1000 AND 5095 AND us <= 1706486400000000 ORDER BY slot, sequence_key LIMIT 1024)
+turns AS (SELECT *, (slot - 14000 + {SLOT_COUNT}) % {SLOT_COUNT} AS turn FROM state),
+due AS (SELECT * FROM turns WHERE turn < 4096 AND us <= 1706486400000000 ORDER BY turn, sequence_key LIMIT 1024)
 SELECT count(*) FILTER (WHERE n % 17 <> 0) AS evicted, count(*) FILTER (WHERE n % 17 = 0) AS inflight, CAST(coalesce(sum(greatest(100 - n, 0)) FILTER (WHERE n % 17 <> 0), 0) AS BIGINT) AS discarded_active,
-  CAST(coalesce(sum(CASE WHEN n >= 50 THEN 100 ELSE 0 END) FILTER (WHERE n % 17 <> 0), 0) AS BIGINT) AS discarded_standby, 5096 AS cursor FROM due""",
+  CAST(coalesce(sum(CASE WHEN n >= 50 THEN 100 ELSE 0 END) FILTER (WHERE n % 17 <> 0), 0) AS BIGINT) AS discarded_standby, (14000 + 4096) % {SLOT_COUNT} AS cursor FROM due""",
     "parse_memory_limit": f"""WITH v(value) AS ({_values([(x,) for x in q.SIZES])}),
 p AS (SELECT value, regexp_extract(trim(value), '^([0-9]+)(TiB|GiB|MiB|KiB|B)?$', 1) AS d, regexp_extract(trim(value), '^([0-9]+)(TiB|GiB|MiB|KiB|B)?$', 2) AS u FROM v),
 n AS (SELECT value, CAST(nullif(d, '') AS HUGEINT) * CASE u WHEN 'TiB' THEN 1099511627776 WHEN 'GiB' THEN 1073741824 WHEN 'MiB' THEN 1048576 WHEN 'KiB' THEN 1024 ELSE 1 END AS b FROM p),
@@ -211,9 +213,9 @@ SELECT node_id, tick, paused, version, array_to_string(list_sort(slots), ',') AS
     "tree_drift": """WITH n AS (SELECT 'p' || page_id || CASE WHEN contains(url, '#') THEN '.htm' ELSE '.html' END AS path, CASE WHEN contains(url, '?') THEN html || '!' ELSE html END AS text FROM pages),
 t AS (SELECT 'p' || page_id || '.html' AS path, html AS text FROM pages)
 SELECT path, CASE WHEN t.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM n FULL JOIN t USING (path) WHERE n.text IS DISTINCT FROM t.text""",
-    "watermark_advance": """WITH m AS (SELECT CAST(s_suppkey AS VARCHAR) AS sequence_key, s_suppkey * 10 AS max_id FROM supplier WHERE s_suppkey % 3 <> 0),
-d AS (SELECT CAST(s_suppkey AS VARCHAR) AS sequence_key, s_suppkey % 7 AS step FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 7 > 0)
-SELECT sequence_key, CAST(coalesce(max_id, 0) + coalesce(step, 0) AS BIGINT) AS max_id, CASE WHEN step IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS updated_on FROM m FULL JOIN d USING (sequence_key)""",
+    "watermark_advance": """WITH m AS (SELECT CAST(s_suppkey AS VARCHAR) AS sequence_key, s_suppkey * 10 AS max_id FROM supplier),
+d AS (SELECT CAST(c_custkey AS VARCHAR) AS sequence_key, c_custkey % 7 AS step FROM customer WHERE c_custkey % 7 > 0)
+SELECT sequence_key, CAST(coalesce(max_id, 0) + coalesce(step, 0) AS BIGINT) AS max_id, CASE WHEN step > 0 THEN '2024-02-01' ELSE '2024-01-01' END AS updated_on FROM m FULL JOIN d USING (sequence_key)""",
     "metadata_integers": """SELECT event_id, CAST(CASE WHEN event_id % 7 IN (0, 1) THEN event_id WHEN event_id % 7 = 6 THEN -event_id END AS BIGINT) AS version FROM events""",
     "names_or_default": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'sequence' ELSE c_name END AS name FROM customer",
     "memory_utilization": """WITH m AS (SELECT p_partkey, CAST(greatest(p_size - p_partkey % 20, 0) AS BIGINT) AS managed FROM part)
@@ -223,7 +225,8 @@ SELECT p_partkey, managed, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 7 = 0 THEN
 FROM owners WHERE node_id = 'node-b' AND version > 1""",
     "route_publication": f"""WITH {OWNERS}, n AS (SELECT version, node_id, '{{"node_id":"' || node_id || '","slots":[' || string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) || ']}}' AS entry FROM owners GROUP BY version, node_id)
 SELECT version, '{{"nodes":[' || string_agg(entry, ',' ORDER BY node_id) || ']}}' AS payload FROM n GROUP BY version""",
-    "client_retry": "SELECT event_id, event_id % 6 IN (2, 3) OR event_id % 4 = 0 AS again FROM events",
+    "client_retry": f"""WITH r AS (SELECT event_id, [NULL, {", ".join(f"'{r}'" for r, _ in REASONS.values())}][event_id % {len(REASONS) + 1} + 1] AS reason, CASE WHEN event_id % 4 = 0 THEN 'UNAVAILABLE' ELSE 'INTERNAL' END AS code FROM events)
+SELECT event_id, coalesce(reason IN ('SEQUENCE_SLOT_NOT_OWNER', 'SEQUENCE_ROUTE_EXPIRED'), false) OR code = 'UNAVAILABLE' AS again FROM r""",
     "ids_not_increasing": f"""WITH {LOG}, b AS (SELECT sequence_key, tie, tie % 100 AS id, lag(tie % 100) OVER (PARTITION BY sequence_key ORDER BY us, tie) AS before FROM log)
 SELECT * FROM b WHERE id <= before""",
     "release_lookup": f"""WITH {RELEASES}, w(version) AS (VALUES ('v0.1.0'), ('v9.0.0'))

@@ -194,8 +194,9 @@ def owner_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fetch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests at node-b under route 3; a tenth of the ticks are paused, memory grows with the day."""
     log = requests(spark, sf_dir).withColumn("slot", keys.slot_for_key(F.col("sequence_key")))
-    first = F.expr("row_number() OVER (PARTITION BY sequence_key ORDER BY ts, tie)") == 1
-    owned = routes.owner_of(log, route_log(spark).where("version = 3")).withColumn("first", first)
+    first = log.groupBy("sequence_key").agg(F.min(F.struct("ts", "tie")).alias("earliest"))
+    log = log.join(first, "sequence_key").withColumn("first", F.col("tie") == F.col("earliest.tie")).drop("earliest")
+    owned = routes.owner_of(log, route_log(spark).where("version = 3"))
     allowed = allocate.admitted(F.col("first"), F.dayofmonth("ts").cast("long") * 4, F.lit(100).cast("long"), 0.5)
     verdict = allocate.fetch_verdict(F.col("tie") % 10 == 0, F.col("node_id") == "node-b", allowed)
     version = F.when(F.col("tie") % 7 == 0, "bad").when(F.col("tie") % 7 == 1, " 3").when(F.col("tie") % 7 == 2, "+4").otherwise((F.col("tie") % 7).cast("string"))
@@ -240,7 +241,7 @@ def allocator_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cleanup run over 4,096 slots from slot 1,000 on, and what its evictions discard; keys hold ranges of 100."""
+    """One cleanup run over 4,096 slots from slot 14,000 on, past the last slot to the first ones, and what its evictions discard; keys hold ranges of 100."""
     log = requests(spark, sf_dir)
     state = log.groupBy("sequence_key").agg(F.unix_micros(F.max("ts")).alias("last_used"), F.count("*").alias("returned")).select(
         keys.slot_for_key(F.col("sequence_key")).alias("slot"), "sequence_key", "last_used", F.lit(True).alias("initialized"), F.lit(1).cast("long").alias("start"),
@@ -248,7 +249,7 @@ def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cutoff = F.lit(1706486400000000)
     owned = spark.range(keys.SLOT_COUNT).select(F.col("id").cast("int").alias("slot"))
-    candidates, cursor = replay.cleanup_run(state, owned, 1000, 4096, cutoff)
+    candidates, cursor = replay.cleanup_run(state, owned, 14000, 4096, cutoff)
     _, sums = replay.evict(state, candidates, cutoff)
     return sums.withColumn("cursor", F.lit(cursor))
 
@@ -318,7 +319,7 @@ def stream_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.streaming.allocator import allocate_stream
 
     events = table(spark, sf_dir, "events")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as streams take no single file
     log = source.select(F.col("user_id").cast("string").alias("sequence_key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"))
     base = own_path(spark, "stream")
     run = allocate_stream(log, ADAPTIVE).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
@@ -327,10 +328,11 @@ def stream_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watermarks of two suppliers in three, moved on by the demands of one in two."""
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sequence_key"), F.col("s_suppkey").alias("n"))
-    marks = suppliers.where("n % 3 <> 0").select("sequence_key", (F.col("n") * 10).cast("long").alias("max_id"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
-    demands = suppliers.where("n % 2 = 0").select("sequence_key", F.lit(1).alias("seq"), (F.col("n") % 7).cast("long").alias("step"))
+    """Watermarks of all suppliers, moved on by the demands of all customers; keys are their ids, so that many customers
+    have no watermark yet. A step of 0 is refused."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sequence_key"), (F.col("s_suppkey") * 10).cast("long").alias("max_id"))
+    marks = suppliers.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    demands = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sequence_key"), F.lit(1).alias("seq"), (F.col("c_custkey") % 7).cast("long").alias("step"))
     moved = ranges.advance(marks, ranges.reserve(demands, marks), F.lit("2024-02-01").cast("timestamp"))
     return moved.select("sequence_key", "max_id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
 

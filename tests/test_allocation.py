@@ -169,6 +169,29 @@ def test_cleanup_in_turns(spark):
     assert replay.cleanup_run(state, owned.limit(0), 0, 2, F.lit(0))[0].count() == 0
 
 
+def test_cleanup_takes_the_slots_that_come_first_in_the_circle(spark):
+    keys = [(12, f"k{k}", 0) for k in range(1500)] + [(1, f"first{k}", 0) for k in range(3)] + [(5, "later", 0)]
+    state = spark.createDataFrame(keys, "slot int, sequence_key string, last_used long")
+    owned = spark.createDataFrame([(1,), (5,), (9,), (12,)], "slot int")
+    run, cursor = replay.cleanup_run(state, owned, 3, 2, F.lit(0))
+    assert {r["slot"] for r in run.collect()} == {12} and run.count() == 1024 and cursor == 1
+    some = replay.cleanup_run(state.where("sequence_key <> 'k0' AND (slot <> 12 OR sequence_key = 'k1')"), owned, 3, 2, F.lit(0))[0]
+    assert [r["slot"] for r in some.collect()] == [12, 1, 1, 1]
+
+
+def test_a_failed_prefetch_waits_and_a_failed_request_has_no_id(spark):
+    c = AllocatorConfig(default_step=10, max_step=10, prefetch_ratio=0.5)  # reserve_timeout is a second
+    at = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    data = [("k", BASE + timedelta(milliseconds=t), t, t == 0) for t in at]
+    kind = KIND + ", reserve_ok boolean"
+    got = rows(replay.replay(spark.createDataFrame(data, kind).repartition(3), c).select("tie", "id", "watermark"))
+    assert got == sorted([(t, t + 1 if t < 10 else None, 10) for t in at], key=repr)
+    # Within the second a prefetch is not tried again, though the store would answer; after it, it is.
+    data = [("k", BASE + timedelta(milliseconds=t), n, n != 4) for n, t in enumerate([0, 1, 2, 3, 4, 5, 1003, 1004, 1005])] + [("k", BASE + timedelta(hours=30), 9, None)]
+    got = rows(replay.replay(spark.createDataFrame(data, kind), c).select("tie", "id", "watermark", "evictions"))
+    assert [r[2] for r in got] == [10] * 7 + [20] * 2 + [30] and [r[1] for r in got] == [*range(1, 10), 21] and got[-1][3] == 1
+
+
 def test_eviction_counts(spark):
     kind = "slot int, sequence_key string, last_used long, initialized boolean, start long, end long, returned long, standby_size long, fetching boolean"
     state = spark.createDataFrame([(1, "a", 5, True, 1, 10, 3, 20, False), (1, "busy", 5, True, 1, 10, 3, 20, True), (2, "used", 50, True, 1, 10, 3, 0, False), (2, "new", 0, False, 0, 0, 0, 0, False)], kind)
