@@ -41,12 +41,13 @@ def term_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1 | 1
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_words: int = 1 << 20) -> DataFrame:
-    """Segments of about segment_words words, a row each: doc_ids, rows (a hash of the text) and n_words; terms, sorted, where the postings of each
-    start, and the postings' documents (by place in doc_ids) and positions, sorted within a term.
+def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, segment_words: int = 1 << 18) -> DataFrame:
+    """Segments of about segment_words words, a row each: doc_ids, rows (a hash of the text) and n_words; terms, sorted,
+    where the postings of each start, and the postings' documents (by place in doc_ids) and positions, sorted within a term.
 
-    All words have postings; with a vocabulary only its words have, and other words count alone. A null
-    text has no words; a text of more words than a segment is a segment of its own.
+    All words have postings; with a vocabulary only its words have, and other words count alone. A null text has no words;
+    a text of more words than a segment is a segment of its own. A posting takes 8 bytes, and a segment is copied some
+    times between Spark and Python, so that segments bound an executor's memory.
     """
     held = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: term_of(w) for w in vocabulary})
     names = [x.split()[0] for x in SEGMENT.split(", ")]
