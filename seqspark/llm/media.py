@@ -259,7 +259,7 @@ def audio_features(stored: DataFrame, rate: int = RATE_OUT, keep_pcm: bool = Tru
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.binary())]
         for batch in batches:
             rows, at = batch.select(["doc_id", "n_bytes"]), 0
-            for group in _groups(batch.column("media").to_pylist(), 1 << 21):
+            for group in _groups(batch.column("media").to_pylist(), 1 << 19):
                 cols: list[list] = [[] for _ in kinds]
                 for m, (codec, rate_in, data, samples) in zip(group, decode(group), strict=True):
                     found, pcm = Features(), []
