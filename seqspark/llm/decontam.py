@@ -8,7 +8,7 @@ ever gathered from all segments, so that a very frequent word costs each segment
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -203,8 +203,9 @@ def ask(segment: Segment, queries: Queries, within: int | None = None) -> Iterat
 MARKS = "segment bigint, doc_ids array<bigint>, rows array<bigint>, n_words array<int>, hit binary, item_docs array<int>, item_names array<string>"
 
 
-def mark(index: DataFrame, queries: Queries) -> DataFrame:
-    """For each segment, which of its words an occurrence of a query covers, as bits, and which items occur where."""
+def marker(index: DataFrame, queries: Queries) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes MARKS of segments: which of their words an occurrence of a query covers, as bits, and which items occur
+    where."""
     held = index.sparkSession.sparkContext.broadcast(queries)
     kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
     names = [x.split()[0] for x in MARKS.split(", ")]
@@ -226,44 +227,49 @@ def mark(index: DataFrame, queries: Queries) -> DataFrame:
                 own = batch.select(["segment", "doc_ids", "rows", "n_words"]).slice(k, 1).columns
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], names)
 
-    return index.mapInArrow(search, MARKS)
+    return search
+
+
+def mark(index: DataFrame, queries: Queries) -> DataFrame:
+    """MARKS of each segment."""
+    return index.mapInArrow(marker(index, queries), MARKS)
 
 
 HITS = "doc_id bigint, row bigint, n_words bigint, n_hit bigint, items array<string>"
 
 
-def counted(marks: DataFrame) -> DataFrame:
-    """doc_id, row, n_words, n_hit and the sorted items of each document. Marks of one segment must follow one another;
-    one segment's bits are held at a time."""
+def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """HITS of each document by the MARKS of its segment. Marks of one segment must follow one another; one segment's
+    bits are held at a time."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
     names = [x.split()[0] for x in HITS.split(", ")]
+    held, hit, items = None, np.zeros(0, np.uint8), {}
+
+    def done() -> pa.RecordBatch:
+        _, ids, rows, sizes = held
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        so_far = np.concatenate([[0], np.cumsum(np.unpackbits(hit, count=first[-1]), dtype=np.int64)])
+        out = (ids, rows, sizes, so_far[first[1:]] - so_far[first[:-1]], [sorted(items.get(d, ())) for d in range(len(sizes))])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+
+    for batch in batches:
+        for k in range(len(batch)):
+            segment = batch.column("segment")[k].as_py()
+            if held is None or segment != held[0]:
+                if held is not None:
+                    yield done()
+                sizes = batch.column("n_words")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                held = (segment, batch.column("doc_ids")[k].values, batch.column("rows")[k].values, sizes)
+                hit, items = np.zeros(-(-int(sizes.sum()) // 8), np.uint8), {}
+            hit = hit | np.frombuffer(batch.column("hit")[k].as_py(), np.uint8)
+            for d, item in zip(batch.column("item_docs")[k].as_py(), batch.column("item_names")[k].as_py(), strict=True):
+                items.setdefault(d, set()).add(item)
+    if held is not None:
+        yield done()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hit, items = None, np.zeros(0, np.uint8), {}
 
-        def done() -> pa.RecordBatch:
-            _, ids, rows, sizes = held
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            so_far = np.concatenate([[0], np.cumsum(np.unpackbits(hit, count=first[-1]), dtype=np.int64)])
-            out = (ids, rows, sizes, so_far[first[1:]] - so_far[first[:-1]], [sorted(items.get(d, ())) for d in range(len(sizes))])
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
-
-        for batch in batches:
-            for k in range(len(batch)):
-                segment = batch.column("segment")[k].as_py()
-                if held is None or segment != held[0]:
-                    if held is not None:
-                        yield done()
-                    sizes = batch.column("n_words")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    held = (segment, batch.column("doc_ids")[k].values, batch.column("rows")[k].values, sizes)
-                    hit, items = np.zeros(-(-int(sizes.sum()) // 8), np.uint8), {}
-                hit = hit | np.frombuffer(batch.column("hit")[k].as_py(), np.uint8)
-                for d, item in zip(batch.column("item_docs")[k].as_py(), batch.column("item_names")[k].as_py(), strict=True):
-                    items.setdefault(d, set()).add(item)
-        if held is not None:
-            yield done()
-
-    return marks.mapInArrow(count, HITS)
+def counted(marks: DataFrame) -> DataFrame:
+    return marks.mapInArrow(count_marks, HITS)
 
 
 def search_near(index: DataFrame, queries: Queries, within: int) -> DataFrame:
@@ -309,12 +315,13 @@ def contamination(
     n, blocks = blocks_of(benchmark, size, block_bytes)
     index = stored(build_index(docs, vocabulary), "index")
     if n == 1:
-        marks = mark(index, next(blocks))
+        search = marker(index, next(blocks))
+        found = index.mapInArrow(lambda batches: count_marks(search(batches)), HITS)
     else:
         marks = reduce(DataFrame.unionByName, [stored(mark(index, queries), "marks") for queries in blocks])
-        marks = marks.repartition("segment").sortWithinPartitions("segment")
+        found = counted(marks.repartition("segment").sortWithinPartitions("segment"))
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
-    return counted(marks).withColumn("contaminated", (n_hit > 0) & (per * n_hit >= n_words))
+    return found.withColumn("contaminated", (n_hit > 0) & (per * n_hit >= n_words))
 
 
 def near_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, within: int = 26, block_bytes: int = 1 << 24) -> DataFrame:
