@@ -3,19 +3,26 @@
 Sets of shingles whose SimHash fingerprints are linked by anchors (simhash.py) make a bucket. Two bits of 64 find sets that
 share almost all; at a similarity of 0.8 about ten bits differ, which no covering code reaches with a bounded number of
 visits. So a set also has 32 min-hash fingerprints, each of five minima: two sets of similarity J share one with probability
-1 - (1 - J^5)^32, at J = 0.8 all but 3 in a million, and sets that share one make a bucket as well. First a bucket's sets
-are compared with one of them, then all those that are not yet connected with each other, so that the components are those
-of all pairs in a bucket.
+1 - (1 - J^5)^32, at J = 0.8 all but 3 in a million, and sets that share one make a bucket as well.
+
+A bucket's pairs are not formed. First each of its sets is compared with four of them, chosen anew in each bucket, which
+asks for a number of pairs that grows with the sets and connects most of what is alike. Only sets that are not connected
+with the bucket's largest component then meet the others of their buckets, and of those only such whose sketches agree: the
+low four bits of each of the 160 minima, of which sets of similarity J share J + (1 - J) / 16 in the mean. A pair passes down to 4.5 standard deviations below the mean at the wanted similarity, which loses about 3 pairs
+in a million of just that similarity. What passes is checked exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import floor, sqrt
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import discard, stored, utf8, word_chunks
@@ -40,14 +47,43 @@ def shingles(data: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprints of a set; none of an empty one."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The set's least values under each of the hash functions; none of an empty set."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[lo : lo + 2048] ^ _XOR) * (_TIMES | np.uint64(1))).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(BANDS, MINIMA))], dtype=np.uint64)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set, from its minima."""
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(-1, MINIMA))], dtype=np.uint64)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """The low four bits of the minima, sixteen in a word."""
+    low = (least & np.uint64(15)).astype(np.uint8)
+    return (low[0::2] << 4 | low[1::2]).view(np.uint64)
+
+
+def agreeing(a: str, b: str) -> Column:
+    """How many of the minima agree in their low four bits."""
+
+    def differing(k: int) -> Column:
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        any_bit = reduce(Column.bitwiseOR, (F.shiftright(x, n) for n in (1, 2, 3)), x)
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(BANDS * MINIMA) - reduce(add, map(differing, range(BANDS * MINIMA // 16)))
+
+
+def least_agreeing(similarity: tuple[int, int]) -> int:
+    """How many minima of a pair of at least that similarity agree, but for about 3 pairs in a million."""
+    over, under = similarity
+    share, n = (15 * over / under + 1) / 16, BANDS * MINIMA
+    return floor(n * share - 4.5 * sqrt(n * share * (1 - share)))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -60,24 +96,26 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), set (a hash of the set of shingles), n (its size), fp (its SimHash) and
-    keys (its min-hash fingerprints), for each row."""
+    """doc_id, row (a hash of doc_id and text), set (a hash of the set of shingles), n (its size), fp (its SimHash),
+    keys (its min-hash fingerprints) and sketch, for each row."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 sets = [shingles(d.as_py(), shingle) for d in part.column("data")]
+                least = [minima(s) for s in sets]
                 ids = _signed([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets])
-                columns = [part.column("doc_id"), part.column("row"), ids, pa.array(map(len, sets), pa.int64()), _signed([majority(ones_of(s), len(s)) for s in sets]), _lists([bands(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "fp", "keys"])
+                columns = [part.column("doc_id"), part.column("row"), ids, pa.array(map(len, sets), pa.int64()), _signed([majority(ones_of(s), len(s)) for s in sets]), _lists([bands(m) for m in least]), _lists([sketch(m) for m in least])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "fp", "keys", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), utf8().alias("data"))
-    return rows.mapInArrow(hash_all, "doc_id long, row long, set long, n long, fp long, keys array<long>")
+    return rows.mapInArrow(hash_all, "doc_id long, row long, set long, n long, fp long, keys array<long>, sketch array<long>")
 
 
 def near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose sets' Jaccard similarity is at least the fraction; only their texts are read."""
+    """Those of pairs (a, b) whose sets' Jaccard similarity is at least the fraction; only texts of pairs whose sketches
+    agree are read."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +123,8 @@ def near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, simil
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column("set"), _lists([shingles(d.as_py(), shingle) for d in part.column("data")])], ["set", "held"])
 
+    one, two = (sets.select(F.col("set").alias(x), F.col("sketch").alias(f"of_{x}")) for x in "ab")
+    pairs = stored(pairs.join(one, "a").join(two, "b").where(agreeing("of_a", "of_b") >= least_agreeing(similarity)).select("a", "b"), "likely")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "row"), "set")
     texts = docs.select(row_hash().alias("row"), utf8().alias("data")).join(asked, "row").dropDuplicates(["set"]).select("set", "data")
     held = stored(texts.mapInArrow(hash_all, "set long, held array<long>"), "shingles")
@@ -93,39 +133,55 @@ def near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, simil
     both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
     found = stored(pairs.join(left, "a").join(right, "b").where((over + under) * both >= over * total).select("a", "b"), "near")
     discard(held)
+    discard(pairs)
     return found
 
 
-def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """set, label: the component of each set that is near another one."""
+def with_heads(placed: DataFrame, heads: int, alike) -> DataFrame:
+    """a, b: each set with up to so many sets of its bucket."""
+    own = [F.min(F.struct(F.xxhash64("key", "set", F.lit(k)), "set", "n")) for k in range(heads)]
+    chosen = placed.groupBy("key").agg(*[h.alias(f"head{k}") for k, h in enumerate(own)])
+    asked = placed.join(chosen, "key").select("set", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"head{k}.set", f"head{k}.n") for k in range(heads)]))).alias("head"))
+    asked = asked.where((F.col("set") != F.col("head.set")) & alike(F.col("n"), F.col("head.n")))
+    return asked.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b"))
+
+
+def with_others(open_: DataFrame, sketches: DataFrame, similarity: tuple[int, int], alike) -> DataFrame:
+    """a, b: each set outside its bucket's main component with those of other components whose sketches agree."""
+    drawn = open_.join(sketches, "set")
+    other = drawn.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "n", "label", "sketch")])
+    apart = (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("main")) | (F.col("set") < F.col("other_set")))
+    near_by = alike(F.col("n"), F.col("other_n")) & (agreeing("sketch", "other_sketch") >= least_agreeing(similarity))
+    pairs = drawn.where("label <> main").join(other, "key").where(apart & near_by)
+    return pairs.select(F.least("set", "other_set").alias("a"), F.greatest("set", "other_set").alias("b"))
+
+
+def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[int, int], heads: int = 4) -> DataFrame:
+    """set, label: the component of each set that is near another one. heads: with how many sets of a bucket all of it
+    are compared at first."""
     over, under = similarity
-    sets = own.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")], F.min("row").alias("row"))
+    sets = own.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")], F.min("row").alias("row"))
     sets = stored(sets.where("n > 0"), "sets")
     linked = print_labels(sets.select("fp").distinct()).withColumnRenamed("label", "print")
     buckets = sets.join(linked, "fp", "left").select("set", "n", F.explode(F.array_append("keys", F.xxhash64(F.lit("fp"), F.coalesce("print", "fp")))).alias("key"))
-    heads = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "set"), "set", "n")).alias("head")).where("size > 1")
-    placed = stored(buckets.join(heads.select("key", F.col("head.set").alias("head"), F.col("head.n").alias("head_n")), "key"), "placed")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    placed = stored(buckets.join(shared.select("key"), "key"), "placed")
 
-    def alike(m: str, n: str):
+    def alike(m: Column, n: Column) -> Column:
         return under * F.least(m, n) >= over * F.greatest(m, n)
 
-    first = placed.where((F.col("set") != F.col("head")) & alike("n", "head_n"))
-    asked = stored(first.select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct(), "asked")
+    asked = stored(with_heads(placed, heads, alike).distinct(), "asked")
     links = near(asked, docs, sets, shingle, similarity)
     labels = stored(connected_components(links).select(F.col("node").alias("set"), "label"), "labels")
 
-    known = stored(placed.select("key", "set", "n").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "known")
+    known = stored(placed.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "known")
     discard(placed)
     by_label = known.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed = by_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = stored(known.join(mixed.select("key", F.col("most.label").alias("main")), "key"), "open")
     discard(known)
-    other = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "n", "label")])
-    # The bucket's largest component is only compared with the others, not with itself.
-    apart = (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("main")) | (F.col("set") < F.col("other_set")))
-    rest = open_.where("label <> main").join(other, "key").where(apart & alike("n", "other_n"))
-    rest = rest.select(F.least("set", "other_set").alias("a"), F.greatest("set", "other_set").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
+    others = with_others(open_, sets.select("set", "sketch"), similarity, alike)
+    rest = stored(others.distinct().join(asked, ["a", "b"], "left_anti"), "rest")
     discard(open_)
     more = near(rest, docs, sets, shingle, similarity)
     found = connected_components(links.unionByName(more)).withColumnRenamed("node", "set")

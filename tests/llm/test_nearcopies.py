@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from seqspark.llm import nearcopies
 from tests.llm.edges import TEXTS, edge_docs, empty_docs
 from tests.llm.test_simhash import union_find
@@ -64,3 +65,44 @@ def test_edge_rows(spark):
     got = nearcopies.keep_first(docs)
     assert got.columns == docs.columns and kept(got) == brute_kept(TEXTS)
     assert nearcopies.keep_first(empty_docs(spark)).count() == 0
+
+
+def test_sketches_agree_as_often_as_sets_are_alike(spark):
+    """Pairs of similarity 0.8 pass, those of a half don't; the SQL counts what numpy counts."""
+    rng, n = np.random.default_rng(5), 180
+    assert 100 < nearcopies.least_agreeing((4, 5)) < 120
+    rows = []
+    for shared in (160, 120):  # of 180 each: similarities 0.8 and 0.5
+        for _ in range(100):
+            all_ = rng.integers(0, 1 << 64, 2 * n - shared, dtype=np.uint64)
+            a, b = (nearcopies.minima(np.sort(s)) for s in (all_[:n], all_[n - shared :]))
+            agree = int(((a & np.uint64(15)) == (b & np.uint64(15))).sum())
+            rows.append((shared, agree, *(nearcopies.sketch(x).view(np.int64).tolist() for x in (a, b))))
+    df = spark.createDataFrame(rows, "shared long, agree long, a array<long>, b array<long>")
+    got = [(r[0], r[1], r[2]) for r in df.select("shared", "agree", nearcopies.agreeing("a", "b")).collect()]
+    assert all(agree == seen for _, agree, seen in got)
+    assert all((seen >= nearcopies.least_agreeing((4, 5))) == (shared == 160) for shared, _, seen in got)
+
+
+def test_large_groups_of_alike_texts_make_few_pairs(spark):
+    """Of 600 texts that are each about half like each other few pairs reach the exact check."""
+    rng = random.Random(8)
+    base, docs = [f"w{rng.randrange(5000)}" for _ in range(200)], []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(200), 7):
+            words[at] = f"e{rng.randrange(10**9)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked, near = [], nearcopies.near
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return near(pairs, *rest)
+
+    nearcopies.near = counted
+    try:
+        assert kept(nearcopies.keep_first(df)) == brute_kept(docs)
+    finally:
+        nearcopies.near = near
+    assert sum(asked) < 600 * 600 / 2 / 4
