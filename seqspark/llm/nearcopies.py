@@ -156,6 +156,17 @@ def with_others(open_: DataFrame, sketches: DataFrame, similarity: tuple[int, in
     return pairs.select(F.least("set", "other_set").alias("a"), F.greatest("set", "other_set").alias("b"))
 
 
+def with_more(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """set, label: the components when links (a, b) of more are added to those that gave labels (set, label). Only the
+    components that more joins are labelled anew, so that the links before are not gone through again."""
+    one, two = (labels.select(F.col("set").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab")
+    ends = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = connected_components(ends.where("a <> b").distinct()).select(F.col("node"), F.col("label").alias("least"))
+    old = labels.join(joined, labels["label"] == joined["node"], "left").select("set", F.coalesce("least", "label").alias("label"))
+    new = joined.join(labels.select(F.col("set").alias("node")), "node", "left_anti").select(F.col("node").alias("set"), F.col("least").alias("label"))
+    return old.unionByName(new)
+
+
 def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[int, int], heads: int = 4) -> DataFrame:
     """set, label: the component of each set that is near another one. heads: with how many sets of a bucket all of it
     are compared at first."""
@@ -184,7 +195,7 @@ def components(docs: DataFrame, own: DataFrame, shingle: int, similarity: tuple[
     rest = stored(others.distinct().join(asked, ["a", "b"], "left_anti"), "rest")
     discard(open_)
     more = near(rest, docs, sets, shingle, similarity)
-    found = connected_components(links.unionByName(more)).withColumnRenamed("node", "set")
+    found = stored(with_more(labels, more), "components")
     for table in (sets, asked, labels, links, rest, more):
         discard(table)
     return found

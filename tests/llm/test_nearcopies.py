@@ -3,7 +3,10 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from seqspark.llm import nearcopies
+from seqspark.llm.common import stored
+from seqspark.llm.components import connected_components
 from tests.llm.edges import TEXTS, edge_docs, empty_docs
 from tests.llm.test_simhash import union_find
 
@@ -106,3 +109,20 @@ def test_large_groups_of_alike_texts_make_few_pairs(spark):
     finally:
         nearcopies.near = near
     assert sum(asked) < 600 * 600 / 2 / 4
+
+
+def test_more_links_join_components(spark):
+    """Adding links to components gives what all links together give, also without new or without old ones."""
+    rng = random.Random(11)
+    for old, new in ((60, 25), (60, 0), (0, 25)):
+        first, more = ([(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(n)] for n in (old, new))
+        first, more = ([(a, b) for a, b in pairs if a != b] for pairs in (first, more))
+        asked, added = (spark.createDataFrame(pairs, "a long, b long") for pairs in (first, more))
+        labels = stored(connected_components(asked).select(F.col("node").alias("set"), "label"), "labels")
+        got = {r["set"]: r["label"] for r in nearcopies.with_more(labels, added).collect()}
+        nodes = sorted({n for pair in first + more for n in pair})
+        roots = union_find(nodes, first + more)
+        least = {}
+        for n in nodes:
+            least.setdefault(roots[n], n)
+        assert got == {n: least[roots[n]] for n in nodes}
